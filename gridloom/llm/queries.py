@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from gridloom.llm import chat, media, sharding
+from gridloom.llm import chat, media, neardup, sharding
 
 QUERIES = {
+    "op2_simhash": neardup.op2_simhash,
     "op7_media": media.op7_media,
     "op9_sharding": sharding.op9_sharding,
     "op10_chat": chat.op10_chat,
