@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from gridloom.llm import chat, media, neardup, sharding
+from gridloom.llm import chat, media, neardup, pieces, sharding
 
 QUERIES = {
     "op2_simhash": neardup.op2_simhash,
+    "op4_pieces": pieces.op4_pieces,
     "op7_media": media.op7_media,
     "op9_sharding": sharding.op9_sharding,
     "op10_chat": chat.op10_chat,
