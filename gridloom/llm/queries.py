@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from gridloom.llm import chat, media, neardup, pieces, sharding
+from gridloom.llm import chat, media, neardup, pieces, secrets, sharding
 
 QUERIES = {
+    "op1_secrets": secrets.op1_secrets,
     "op2_simhash": neardup.op2_simhash,
     "op4_pieces": pieces.op4_pieces,
     "op7_media": media.op7_media,
     "op9_sharding": sharding.op9_sharding,
     "op10_chat": chat.op10_chat,
 }
-ORACLES = {"op10_chat": chat.ORACLE}
+ORACLES = {"op1_secrets": secrets.ORACLE, "op10_chat": chat.ORACLE}

@@ -1,0 +1,56 @@
+import hashlib
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from gridloom.llm import secrets
+
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+IDENT = re.compile(r"""(access_?key_?id|client_?id|account_?id|username|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{3,})""", re.I | re.A)
+PARTS = {"assign": "s", "access": "i", "hex": "s", "ident": "i", "key": "s", "url": "e"}
+
+
+def plain(text):
+    text = text or ""
+    base = [(m.start(), 0, m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
+    base += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    base += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+    weak = [(m.start(), 3, m.end(), "ident") for m in IDENT.finditer(text)]
+    weak += [(m.start(), 4, m.end(), "key") for m in re.finditer("[A-Za-z0-9+/]{24,}={0,2}", text) if all(re.search(c, m[0]) for c in ("[a-z]", "[A-Z]", "[0-9]"))]
+    weak += [(m.start(), 5, m.end(), "url") for m in re.finditer(secrets.URL, text)]
+    weak = [w for w in weak if not any(b[0] < w[2] and w[0] < b[2] for b in base)]
+    near = lambda w, p: (PARTS[w[3]] == "s") != (PARTS[p[3]] == "s") and p[0] <= w[2] + 200 and p[2] >= w[0] - 200
+    return sorted(base), sorted(base + [w for w in weak if any(near(w, p) for p in base + weak)])
+
+
+def told(spans):
+    return ",".join(f"{k}:{a}:{b}" for a, _, b, k in spans)
+
+
+def texts():
+    rng = random.Random(7)
+    bits = ["password=", "Secret : '", "TOKEN\"= ", "apikey:", "api_key = ", "abcdefgh", "0123456789abcdef", "AKIA", "ABCDEFGH12345678", "é🙂", "\n", " ", "x" * 30, "y " * 60, "client_id = bob.smith", "login: al", "https://host/path?q=1", "Zk9" * 9, "token = secret: password =", "deadbeef" * 3, "postgresql://u:p@h/db", "'", '"', "=", "ſecret=abcdefghijklmnop"]
+    out = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 40))) for _ in range(250)]
+    return [None, "", "secret: token = abcdefghijklmnop", "a" * 16, "AKIA" + "A" * 13, "AKIA" + "A" * 14, *out, "0123456789abcdef " * 700]
+
+
+def test_spans_are_those_of_plain_python(spark):
+    rows = list(enumerate(texts()))
+    rows += [(None, rows[10][1]), (3, rows[12][1]), (3, rows[12][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("base", F.lit(1)).withColumn("row", F.lit("x"))
+    got = sorted(((str(r.doc_id), r.spans, r.base_sha256, r.n_assign, r.n_access, r.n_hex) for r in secrets.find(docs).collect()))
+    want = []
+    for i, t in rows:
+        base, every = plain(t)
+        want.append((str(i), told(every), hashlib.sha256(told(base).encode()).hexdigest(), *(sum(s[3] == k for s in base) for k in ("assign", "access", "hex"))))
+    assert got == sorted(want)
+    assert any(" " not in w[1] and "ident" in w[1] for w in want)
+    assert secrets.find(docs.limit(0)).count() == 0
+
+
+def test_redaction(spark):
+    rows = [(1, "my password = 'abcdefghijkl' and 0123456789abcdef0 end", 5), (2, None, 0), (3, "clean", 5), (3, "clean", 5), (None, "token=0123456789abcdef", 99)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").withColumn("found", F.lit(None).cast("string"))
+    out = secrets.redact(docs.drop("found")).collect()
+    assert sorted((str(r.doc_id), str(r.text), r.n_chars) for r in out) == sorted([("1", "my [assign]' and [hex] end", 26), ("2", "None", 0), ("3", "clean", 5), ("3", "clean", 5), ("None", "[assign]", 8)])
