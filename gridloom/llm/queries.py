@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from gridloom.llm import chat, media, neardup, pieces, secrets, sharding
+from gridloom.llm import chat, media, neardup, pieces, secrets, sharding, toxicity
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
     "op2_simhash": neardup.op2_simhash,
     "op4_pieces": pieces.op4_pieces,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op7_media": media.op7_media,
     "op9_sharding": sharding.op9_sharding,
     "op10_chat": chat.op10_chat,
