@@ -32,8 +32,8 @@ ENTRIES = 20_000
 FOLDS = 5
 #: Lengths of word beginnings; the prior's documents as a share of the counted ones; documents that an entry needs; standard errors of the bound; least score of an entry.
 STEMS, PRIOR, SUPPORT, ERRORS, LEAST = (4, 5, 6), 0.02, 3, 1.64, 0.5
-#: What a word without an entry costs; significance that a reported passage needs.
-COST, SIGNIFICANT = 0.08, 0.01
+#: What a word without an entry costs: so many times what clean documents gain a word, and at least this; significance that a reported passage needs.
+COST_TIMES, COST, SIGNIFICANT = 3.0, 0.01, 0.01
 WORD = re.compile(r"[^\W\d_]+")
 REMEMBERED = 300_000
 
@@ -49,6 +49,8 @@ class Model:
     scale: float = 1.0
     slope: float = 1.0
     shift: float = -3.0
+    cost: float = COST
+    none: float = 0.0
 
     def __post_init__(self) -> None:
         self._known: dict[str, float] = {}
@@ -84,7 +86,10 @@ class Model:
         return -math.log10(-math.expm1(-expected)) if expected > 1e-9 else (self.rate * best - math.log(self.scale * words)) / math.log(10)
 
     def score(self, evidence: float) -> float:
-        return 1 / (1 + math.exp(-max(-500.0, min(500.0, self.slope * evidence + self.shift))))
+        """Without evidence, the share of toxic documents that have none either; else by the curve, and not below."""
+        if evidence <= 0:
+            return self.none
+        return max(self.none, 1 / (1 + math.exp(-max(-500.0, min(500.0, self.slope * evidence + self.shift)))))
 
 
 def segments(hits: list[tuple[int, float]], cost: float = COST) -> list[tuple[int, int, float]]:
@@ -143,10 +148,10 @@ def _measured(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Re
         rows = []
         for text, toxic, weight in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
             hits, n = model.hits(text)
-            rows.append((toxic, weight, max((s for *_, s in segments(hits)), default=0.0), n, [s for _, s in hits]))
+            rows.append((toxic, weight, n, [x for x, _ in hits], [s for _, s in hits]))
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-        kinds = [pa.int32(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.float64())]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["toxic", "weight", "best", "words", "hits"])
+        kinds = [pa.int32(), pa.float64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["toxic", "weight", "words", "places", "hits"])
 
 
 def fold(key: str) -> Column:
@@ -180,28 +185,35 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     bound = odds - F.lit(ERRORS) * F.sqrt(1 / (F.col("a") + mass) + 1 / (F.col("b") + mass))
     best = counts.select("entry", bound.alias("score"), "b").where(F.col("score") > LEAST).orderBy(F.desc("score"), "entry").limit(ENTRIES).collect()
     model = Model({r.entry: float(r.score) for r in best})
-    seen = _map(picked.where("tune").select("text", "y", "weight"), lambda it: _measured(it, model), "toxic int, weight double, best double, words long, hits array<double>").collect()
+    seen = _map(picked.where("tune").select("text", "y", "weight"), lambda it: _measured(it, model), "toxic int, weight double, words long, places array<long>, hits array<double>").collect()
     return _calibrated(model, seen)
 
 
 def _calibrated(model: Model, seen: list) -> Model:
     """Rate and scale of the extreme-value law from clean documents, then a logistic curve over the evidence."""
     clean = [r for r in seen if not r.toxic]
+    gained = sum(r.weight * sum(r.hits) for r in clean) / max(1.0, sum(r.weight * r.words for r in clean))
+    model.cost = max(COST, COST_TIMES * gained)
+    best = {id(r): max((s for *_, s in segments(list(zip(r.places, r.hits, strict=True)), model.cost)), default=0.0) for r in seen}
     words, hits = sum(r.words for r in clean) + 1, [s for r in clean for s in r.hits]
     # One hit of each strength is added, so that the rate stays finite.
     values = np.array(hits + [float(np.median(list(model.scores.values()) or [1.0]))])
     plain = max(1, words - len(values))
-    total = lambda rate: (plain * math.exp(-rate * COST) + np.exp(rate * values).sum()) / (plain + len(values))
+    total = lambda rate: (plain * math.exp(-rate * model.cost) + np.exp(rate * values).sum()) / (plain + len(values))
     low, high = 1e-3, 4.0
     for _ in range(60):
         middle = (low + high) / 2
         low, high = (middle, high) if total(middle) < 1 else (low, middle)
     model.rate = max(0.05, low)
-    tops = [model.rate * r.best - math.log(r.words) for r in clean if r.words and r.best > 0]
+    tops = [model.rate * best[id(r)] - math.log(r.words) for r in clean if r.words and best[id(r)] > 0]
     model.scale = min(1.0, max(1e-6, math.exp(float(np.mean(tops)) - 0.5772) * len(tops) / max(1, len(clean)))) if tops else 1e-3
-    x = np.array([model.evidence(r.best, r.words) for r in seen])
+    x = np.array([model.evidence(best[id(r)], r.words) for r in seen])
     y = np.array([float(r.toxic) for r in seen])
     w = np.array([r.weight for r in seen])
+    bare = x <= 0
+    model.none = min(0.49, float(w[bare] @ y[bare] / max(1.0, w[bare].sum()))) if len(x) else 0.0
+    # Labels without any evidence say nothing about how much of it is enough.
+    x, y, w = x[~bare], y[~bare], w[~bare]
     if not len(x) or y.min() == y.max():
         return model
     # Smoothed targets and a weak ridge keep the curve finite for separable classes.
@@ -228,7 +240,7 @@ def _scored(batches: Iterator[pa.RecordBatch], model: Model, passages: bool) ->
         for item in b.column(b.num_columns - 1):
             text = item.as_py() or ""
             hits, n = model.hits(text)
-            found = segments(hits)
+            found = segments(hits, model.cost)
             best = max((s for *_, s in found), default=0.0)
             sure = [x for x in found if model.evidence(x[2], n) >= limit]
             row = (model.score(model.evidence(best, n)), best, len(sure))
