@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from gridloom.llm import chat, media, neardup, pieces, secrets, sharding, toxicity
+from gridloom.llm import chat, decontam, media, neardup, pieces, secrets, sharding, toxicity
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
     "op2_simhash": neardup.op2_simhash,
+    "op3_decontamination": decontam.op3_decontamination,
     "op4_pieces": pieces.op4_pieces,
     "op5_toxicity": toxicity.op5_toxicity,
     "op7_media": media.op7_media,
