@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridloom.llm import chat, counts, decontam, media, neardup, pieces, secrets, sharding, toxicity
+from gridloom.llm import chat, counts, decontam, media, neardup, pages, pieces, secrets, sharding, toxicity
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_pieces": pieces.op4_pieces,
     "op5_toxicity": toxicity.op5_toxicity,
     "op7_media": media.op7_media,
+    "op6_pages": pages.op6_pages,
     "op8_token_counts": counts.op8_token_counts,
     "op9_sharding": sharding.op9_sharding,
     "op10_chat": chat.op10_chat,
