@@ -88,7 +88,9 @@ class Index:
     @staticmethod
     def _hashes(words: np.ndarray, n: int) -> np.ndarray:
         """A hash of every n words in a row; hits are verified, so equal hashes of other words do no harm."""
-        out = np.zeros(max(0, len(words) - n + 1), np.uint64)
+        if len(words) < n:
+            return np.zeros(0, np.uint64)
+        out = np.zeros(len(words) - n + 1, np.uint64)
         for i in range(n):
             out = (out ^ words[i : len(words) - n + 1 + i]) * _MIX
             out ^= out >> np.uint64(29)
@@ -169,7 +171,7 @@ def _first(pattern: list[int], words: np.ndarray, end: int, distance: int, k: in
     return min(best[1], end)
 
 
-def _searched(batches: Iterator[pa.RecordBatch], index, kinds: list[pa.DataType], names: list[str], item: pa.DataType) -> Iterator[pa.RecordBatch]:
+def _searched(batches: Iterator[pa.RecordBatch], index, item: pa.DataType) -> Iterator[pa.RecordBatch]:
     held = index.value
     for b in batches:
         rows, found = [], []
@@ -206,7 +208,7 @@ def matches(docs: DataFrame, items: DataFrame, passed: list[Column | str], text:
     out = None
     for block in _blocks(named, block_words):
         index = spark.sparkContext.broadcast(Index(block, share))
-        part = rows.mapInArrow(lambda it, index=index: _searched(it, index, [], [], kind_), fields)
+        part = rows.mapInArrow(lambda it, index=index: _searched(it, index, kind_), fields)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else rows.limit(0).mapInArrow(lambda it: iter(()), fields)
 

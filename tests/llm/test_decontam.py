@@ -66,6 +66,11 @@ def test_places_and_counts():
     assert (key, distance, count) == ("x", 0, 2) and text[start:end] == item.upper()
 
 
+def test_texts_shorter_than_a_piece():
+    index = D.Index([(1, "a b c d e f g h i j"), (2, "a b")])
+    assert index.search("a") == [] and index.search("x y") == [] and [h[0] for h in index.search("a b")] == [2]
+
+
 def test_query_on_all_pairs(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
     items = spark.read.parquet(f"{sf}/benchmark.parquet").collect()
