@@ -19,9 +19,27 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+FLAGSHIP_SQL = """
+SELECT floor(l_quantity / 10)::BIGINT AS cx, floor(l_extendedprice / 20000)::BIGINT AS cy, round(sum(l_discount * l_quantity) / sum(l_quantity), 6) AS fused, sum(l_quantity) AS weight
+FROM lineitem GROUP BY ALL HAVING sum(l_quantity) > 0.5
+"""
+
+
+def _modules() -> list:
+    from gridloom.plans import matching, scalars, sequences, voxels
+
+    return [scalars, voxels, sequences, matching]
+
+
 def queries() -> dict:
-    return {}
+    out = {"flagship_voxel_grid": flagship}
+    for m in _modules():
+        out |= m.R.queries
+    return out
 
 
 def oracles() -> dict:
-    return {}
+    out = {"flagship_voxel_grid": FLAGSHIP_SQL}
+    for m in _modules():
+        out |= m.R.oracles
+    return out
