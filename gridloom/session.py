@@ -10,11 +10,17 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+#: Rows of an Arrow batch, where the session has not set another number: texts may be long, and a batch is held whole.
+BATCH_ROWS = "2000"
+#: Rows of a small side that may be broadcast; a larger one is joined by its keys.
+BROADCAST_ROWS = 200_000
 
 
 def ship(spark: SparkSession) -> None:
     """Give this package to the executors' Python workers, once for each application."""
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     if sc.applicationId in _SHIPPED:
         return
     top = Path(__file__).resolve().parent
@@ -43,3 +49,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, marked for broadcast if it has few rows, which are counted; meant for narrow rows that are cheap to count, as after cut()."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
