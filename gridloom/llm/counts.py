@@ -77,24 +77,32 @@ def unigram_of(model: bytes) -> Unigram:
 
 
 def _counted(batches: Iterator[pa.RecordBatch], model: bytes) -> Iterator[pa.RecordBatch]:
+    """Batches are gathered up to RUN characters, so that their pre-tokens share a trie."""
     unigram = unigram_of(model)
-    for batch in batches:
-        texts = batch.column(batch.num_columns - 1)
-        pre, total, at = [], [], 0
-        while at < len(texts):
-            end, size, words = at, 0, set()
-            while end < len(texts) and (end == at or size < RUN):
-                text = texts[end].as_py()
-                words.update(pretokens(text))
-                size += len(text or "")
-                end += 1
-            known = unigram.counts(words)
-            for i in range(at, end):
-                found = pretokens(texts[i].as_py())
+    run: list[pa.RecordBatch] = []
+    words: set[str] = set()
+    size = 0
+
+    def settled() -> Iterator[pa.RecordBatch]:
+        known = unigram.counts(words)
+        for batch in run:
+            pre, total = [], []
+            for text in batch.column(batch.num_columns - 1):
+                found = pretokens(text.as_py())
                 pre.append(len(found))
                 total.append(sum(map(known.__getitem__, found)))
-            at = end
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(pre, pa.int64()), pa.array(total, pa.int64())], [*batch.schema.names[:-1], "n_pretokens", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(pre, pa.int64()), pa.array(total, pa.int64())], [*batch.schema.names[:-1], "n_pretokens", "n_tokens"])
+
+    for whole in batches:
+        for batch in (whole.slice(at, 500) for at in range(0, whole.num_rows, 500)):
+            run.append(batch)
+            for text in batch.column(batch.num_columns - 1):
+                words.update(pretokens(text.as_py()))
+                size += len(text.as_py() or "")
+            if size >= RUN:
+                yield from settled()
+                run, words, size = [], set(), 0
+    yield from settled()
 
 
 def count(docs: DataFrame, passed: list[Column | str], text: str = "text", path: str | None = None) -> DataFrame:

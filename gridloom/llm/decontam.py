@@ -232,10 +232,18 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
 
 
-def clean(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of docs in which no test item stands, with their columns."""
-    value = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    hashed = [F.xxhash64(value).alias("__a"), F.xxhash64(F.lit("again"), value).alias("__b")]
-    found = matches(docs.select(*hashed, F.col(text).alias("text")), items, ["__a", "__b"]).select("__a", "__b").distinct()
-    marked = docs.withColumns({"__a": hashed[0], "__b": hashed[1]})
-    return marked.join(found, ["__a", "__b"], "left_anti").select(*docs.columns)
+def _clean(batches: Iterator[pa.RecordBatch], index, at: int) -> Iterator[pa.RecordBatch]:
+    held = index.value
+    for b in batches:
+        yield b.filter(pa.array([not held.search(x.as_py()) for x in b.column(at)], pa.bool_()))
+
+
+def clean(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", share: float = ERRORS_IN, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of docs in which no test item stands, with their columns: one filter for each block of items, without a shuffle."""
+    spark = docs.sparkSession
+    ship(spark)
+    at = docs.columns.index(text)
+    for block in _blocks(items.select(F.col(item).cast("string").alias("item"), F.col(item_text).cast("string").alias("text")), block_words):
+        index = spark.sparkContext.broadcast(Index(block, share))
+        docs = docs.mapInArrow(lambda it, index=index: _clean(it, index, at), docs.schema)
+    return docs

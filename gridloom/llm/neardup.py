@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.session import cut, ship, table
+from gridloom.session import cut, ship, small, table
 
 WORDS, SEED, RADIUS = 3, 42, 3
 #: Bytes of a text that are cut into words at a time.
@@ -170,7 +170,8 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: in
     ranked = cut(member.join(best, "group").select("key", "row", (F.col("best.key").eqNullSafe(F.col("key")) & (F.col("best.row") == F.col("row"))).alias("stays"), "copies"))
     gone = ranked.where(~F.col("stays")).select(F.col("key").alias("gone_key"), F.col("row").alias("gone_row"))
     marked = docs.withColumn("__row", row)
-    left = marked.join(gone, F.col(key).eqNullSafe(F.col("gone_key")) & (F.col("__row") == F.col("gone_row")), "left_anti")
+    # A short list of rows that go is broadcast; a long one is joined by key.
+    left = marked.join(small(gone), F.col(key).eqNullSafe(F.col("gone_key")) & (F.col("__row") == F.col("gone_row")), "left_anti")
     twice = ranked.where("stays AND copies > 1").select(F.col("key").alias("gone_key"), F.col("row").alias("gone_row"))
     if twice.isEmpty():
         return left.select(*names)

@@ -59,14 +59,14 @@ def _found(df: DataFrame, kind: str, pattern: str, maybe: Column, fits: str = "t
     return df.withColumn(kind, F.coalesce(F.expr(spans), F.expr(f"cast(array() as {_EMPTY})"))).drop("__m", "__parts", "__g", "__at")
 
 
-def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(__id, row, base, weak) for every row of docs: row is a hash of the text, base and weak are arrays of spans.
+def scan(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with three columns more: __row is a hash of the text, __base and __weak are arrays of spans.
 
     A span is struct(start, rank, end, kind), code points, end exclusive. Matches are
     leftmost and do not overlap within a kind; those that fail their length go. Weak
     candidates that overlap a base span are left out.
     """
-    df = docs.select(F.col(key).alias("__id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
+    df = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("__given"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
     text_ = F.col("__text")
     sign = text_.contains("=") | text_.contains(":")
     # Cheap tests first: most texts need no search for positions.
@@ -79,13 +79,14 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     df = _found(df, "url", URL, text_.contains("://"))
     df = df.withColumn("base", F.array_sort(F.concat(*BASE)))
     clear = "filter(concat(ident, key, url), w -> NOT exists(base, b -> b.start < w.end AND w.start < b.end))"
-    return df.select("__id", F.struct(F.xxhash64("__text"), F.xxhash64(F.lit("again"), "__text"), F.length("__text")).alias("row"), "base", F.expr(clear).alias("weak"))
+    row = F.struct(F.xxhash64("__text"), F.xxhash64(F.lit("again"), "__text"), F.length("__text"))
+    return df.select("__given.*", row.alias("__row"), F.col("base").alias("__base"), F.expr(clear).alias("__weak"))
 
 
 def linked(scanned: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """(row, added): the weak candidates of each text that stand within scope of a complementary part."""
+    """(__row, added): the weak candidates of each text that stand within scope of a complementary part."""
     part = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])[F.col("s.kind")]
-    hold = scanned.where(F.size("weak") > 0).select("row", "base", "weak").distinct()
+    hold = scanned.where(F.size("__weak") > 0).select(F.col("__row").alias("row"), F.col("__base").alias("base"), F.col("__weak").alias("weak")).distinct()
     parts = hold.select("row", F.explode(F.concat("base", "weak")).alias("s")).select("row", "s", part.alias("part"))
     reach = lambda by: F.explode(F.sequence(F.floor((F.col("s.start") - by) / scope), F.floor((F.col("s.end") + by) / scope)))
     cells = parts.select("row", "part", "s", reach(0).alias("cell")).groupBy("row", "cell", "part").agg(F.min("s.start").alias("first"), F.max("s.end").alias("last"))
@@ -93,7 +94,15 @@ def linked(scanned: DataFrame, scope: int = SCOPE) -> DataFrame:
     c = cells.select(F.col("row").alias("c_row"), F.col("cell").alias("c_cell"), F.col("part").alias("c_part"), "first", "last")
     fits = ((F.col("part") == "secret") & F.col("c_part").isin("identifier", "endpoint")) | (F.col("part").isin("identifier", "endpoint") & (F.col("c_part") == "secret"))
     near = (F.col("row") == F.col("c_row")) & (F.col("cell") == F.col("c_cell")) & fits & (F.col("first") <= F.col("s.end") + scope) & (F.col("last") >= F.col("s.start") - scope)
-    return weak.join(c, near, "left_semi").groupBy("row").agg(F.collect_set("s").alias("added"))
+    return weak.join(c, near, "left_semi").groupBy(F.col("row").alias("__row")).agg(F.collect_set("s").alias("added"))
+
+
+def _all(scanned: DataFrame, held: DataFrame, scope: int) -> DataFrame:
+    """scanned with a column __found: base spans and, of texts with weak candidates, the linked ones. Only those texts' rows are shuffled. held: the same spans, to link from."""
+    none = F.expr(f"cast(array() as {_EMPTY})")
+    plain = scanned.where(F.size("__weak") <= 0).withColumn("__found", F.col("__base"))
+    some = scanned.where(F.size("__weak") > 0).join(linked(held, scope), "__row", "left").select(*scanned.columns, F.array_sort(F.concat("__base", F.coalesce("added", none))).alias("__found"))
+    return plain.unionByName(some)
 
 
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text", scope: int = SCOPE) -> DataFrame:
@@ -103,14 +112,11 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", scope: int =
     have no spans; equal texts have equal spans, whatever their keys; repeated rows come
     out as often as they go in; an empty table gives no rows; other columns are ignored.
     """
-    rows = cut(scan(docs, key, text))
-    more = linked(rows, scope).select(F.col("row").alias("m_row"), "added")
-    # Equal texts are one hash: the large side may be skewed, and adaptive execution splits it.
-    out = rows.join(more, rows.row == F.col("m_row"), "left")
-    out = out.withColumn("found", F.array_sort(F.concat("base", F.coalesce("added", F.expr(f"cast(array() as {_EMPTY})")))))
+    rows = cut(scan(docs.select(F.col(key).alias("__id"), F.col(text).alias("__value")), "__value").drop("__value"))
+    out = _all(rows, rows, scope)
     told = lambda c: F.expr(f"array_join(transform({c}, s -> concat(s.kind, ':', s.start, ':', s.end)), ',')")
-    n = [F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) as long)").alias(f"n_{k}") for k in BASE]
-    return out.select(F.col("__id").alias(key), *n, F.sha2(told("base"), 256).alias("base_sha256"), told("found").alias("spans"), "found")
+    n = [F.expr(f"cast(size(filter(__base, s -> s.kind = '{k}')) as long)").alias(f"n_{k}") for k in BASE]
+    return out.select(F.col("__id").alias(key), *n, F.sha2(told("__base"), 256).alias("base_sha256"), told("__found").alias("spans"), F.col("__found").alias("found"))
 
 
 def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", scope: int = SCOPE) -> DataFrame:
@@ -119,14 +125,12 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", scope: int
     Null texts stay null. Rows without spans stay as they are.
     """
     names = docs.columns
-    value = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    spans = find(docs.select(F.struct(F.xxhash64(value), F.xxhash64(F.lit("again"), value)).alias("hash"), text), "hash", text, scope).where(F.size("found") > 0)
-    spans = spans.groupBy("hash").agg(F.min("found").alias("found"))
-    rows = docs.withColumn("__hash", F.struct(F.xxhash64(value), F.xxhash64(F.lit("again"), value))).join(spans, F.col("__hash") == F.col("hash"), "left")
+    scanned = scan(docs, text)
+    rows = _all(scanned, cut(scanned.where(F.size("__weak") > 0).select("__row", "__base", "__weak").distinct()), scope)
     step = f"if(s.start < a.at, struct(greatest(a.at, s.end) AS at, a.out AS out), struct(s.end AS at, concat(a.out, substring(`{text}`, a.at + 1, s.start - a.at), '[', s.kind, ']') AS out))"
-    rows = rows.withColumn(text, F.expr(f"if(found IS NULL, `{text}`, aggregate(found, struct(0 AS at, '' AS out), (a, s) -> {step}, a -> concat(a.out, substring(`{text}`, a.at + 1))))"))
+    rows = rows.withColumn(text, F.expr(f"if(size(__found) <= 0, `{text}`, aggregate(__found, struct(0 AS at, '' AS out), (a, s) -> {step}, a -> concat(a.out, substring(`{text}`, a.at + 1))))"))
     if "n_chars" in names:
-        rows = rows.withColumn("n_chars", F.when(F.col("found").isNull(), F.col("n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType)))
+        rows = rows.withColumn("n_chars", F.when(F.size("__found") <= 0, F.col("n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType)))
     return rows.select(*names)
 
 

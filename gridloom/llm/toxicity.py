@@ -273,8 +273,17 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "best", "n_passages")
 
 
+def _passed(batches: Iterator[pa.RecordBatch], model: Model, at: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        keep = []
+        for item in b.column(at):
+            hits, n = model.hits(item.as_py() or "")
+            best = max((s for *_, s in segments(hits, model.cost)), default=0.0)
+            keep.append(model.score(model.evidence(best, n)) < 0.5)
+        yield b.filter(pa.array(keep, pa.bool_()))
+
+
 def kept(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The rows of docs that are not predicted toxic, with their columns."""
-    names = docs.columns
-    rows = score(docs.withColumn("__value", F.col(text)), model, [F.struct(*[F.col(c) for c in names]).alias("__row")], text, passages=False)
-    return rows.where(F.col("score") < 0.5).select("__row.*")
+    at = docs.columns.index(text)
+    return _map(docs, lambda it: _passed(it, model, at), docs.schema)
