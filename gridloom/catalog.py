@@ -26,9 +26,9 @@ FROM lineitem GROUP BY ALL HAVING sum(l_quantity) > 0.5
 
 
 def _modules() -> list:
-    from gridloom.plans import matching, rooms, scalars, sequences, streams, voxels
+    from gridloom.plans import mapping, matching, rooms, scalars, sequences, streams, voxels
 
-    return [scalars, voxels, sequences, matching, rooms, streams]
+    return [scalars, voxels, sequences, matching, rooms, streams, mapping]
 
 
 def queries() -> dict:
