@@ -32,7 +32,7 @@ def depth_picture(spark, sf):
     return points(spark, sf).groupBy("camera", grid.chunk_key("x", 2).alias("u"), grid.chunk_key("y", 2).alias("v")).agg((F.avg("z") / 10 + 0.5).alias("depth"))
 
 
-@R.add("vox5_integrate_depth", sql("""SELECT u, v, k, round(sum(s) / (sum(w) + 1e-4), 6) AS sdf, sum(w)::BIGINT AS weight FROM (
+@R.add("vox5_integrate_depth", sql("""SELECT u, v, k, round(sum(s) / (sum(w) + 1e-4), 6) + 0 AS sdf, sum(w)::BIGINT AS weight FROM (
   SELECT u, v, k, depth - (k * 0.05::DOUBLE + 0.025::DOUBLE) AS s, 1 AS w FROM d, (SELECT unnest(range(0, 40)) AS k)) WHERE s > -0.03 AND s < 0.15 GROUP BY ALL HAVING sum(w) > 0.5""", _COLUMNS))
 def integrate_depth(spark, sf):
     """Signed distances of the voxels along each pixel's ray, within the truncation band, fused over the agents."""
@@ -74,19 +74,22 @@ def splat(spark, sf):
 _GRID = "m AS (SELECT floor(x / 4)::BIGINT AS gx, floor(y / 2)::BIGINT AS gy, avg(z) AS v FROM p GROUP BY ALL)"
 
 
-@R.add("vox9_interpolated_value", sql("""SELECT id, round((a.v * (1 - fx) + b.v * fx) * (1 - fy) + (c.v * (1 - fx) + d.v * fx) * fy, 6) AS value, round((b.v - a.v) * (1 - fy) + (d.v - c.v) * fy, 6) AS gx FROM (
-  SELECT id, floor(x / 4)::BIGINT AS i, floor(y / 2)::BIGINT AS j, x / 4 - floor(x / 4) AS fx, y / 2 - floor(y / 2) AS fy FROM p) q
-  JOIN m a ON a.gx = i AND a.gy = j JOIN m b ON b.gx = i + 1 AND b.gy = j JOIN m c ON c.gx = i AND c.gy = j + 1 JOIN m d ON d.gx = i + 1 AND d.gy = j + 1""", _GRID))
+_THIRDS = "m AS (SELECT floor(x / 3)::BIGINT AS gx, floor(y / 1.7)::BIGINT AS gy, avg(z) AS v FROM p GROUP BY ALL)"
+
+
+@R.add("vox9_interpolated_value", sql("""SELECT id, round((a.v * (1 - fx) + b.v * fx) * (1 - fy) + (c.v * (1 - fx) + d.v * fx) * fy, 6) + 0 AS value, round((b.v - a.v) * (1 - fy) + (d.v - c.v) * fy, 6) + 0 AS gx FROM (
+  SELECT id, floor(x / 3)::BIGINT AS i, floor(y / 1.7)::BIGINT AS j, x / 3 - floor(x / 3) AS fx, y / 1.7 - floor(y / 1.7) AS fy FROM p) q
+  JOIN m a ON a.gx = i AND a.gy = j JOIN m b ON b.gx = i + 1 AND b.gy = j JOIN m c ON c.gx = i AND c.gy = j + 1 JOIN m d ON d.gx = i + 1 AND d.gy = j + 1""", _THIRDS))
 def interpolated(spark, sf):
     """True linear interpolation between the cell values around a point, and the gradient along x; points without all neighbours have none."""
     p = points(spark, sf)
-    means = p.groupBy(grid.chunk_key("x", 4).alias("gx"), grid.chunk_key("y", 2).alias("gy")).agg(F.avg("z").alias("v"))
+    means = p.groupBy(grid.chunk_key("x", 3).alias("gx"), grid.chunk_key("y", 1.7).alias("gy")).agg(F.avg("z").alias("v"))
     corners = V.full_cells(means, ["gx", "gy"], "v")
-    q = p.select("id", grid.chunk_key("x", 4).alias("gx"), grid.chunk_key("y", 2).alias("gy"), (F.col("x") / 4 - F.floor(F.col("x") / 4)).alias("fx"), (F.col("y") / 2 - F.floor(F.col("y") / 2)).alias("fy"))
+    q = p.select("id", grid.chunk_key("x", 3).alias("gx"), grid.chunk_key("y", 1.7).alias("gy"), (F.col("x") / 3 - F.floor(F.col("x") / 3)).alias("fx"), (F.col("y") / 1.7 - F.floor(F.col("y") / 1.7)).alias("fy"))
     v = [F.col("values")[i] for i in range(4)]
     both = q.join(corners, ["gx", "gy"])
     slope = G.lerp(v[1] - v[0], v[3] - v[2], F.col("fy"))
-    return both.select("id", r6(G.bilerp(*v, F.col("fx"), F.col("fy")), "value"), r6(slope, "gx"))
+    return both.select("id", F.round(G.bilerp(*v, F.col("fx"), F.col("fy")), 6).alias("value"), F.round(slope, 6).alias("gx"))
 
 
 @R.add("vox15_surface_distance", sql("SELECT id, round(z - v, 6) AS distance, abs(z - v) < 2 AS near FROM p JOIN m ON gx = floor(x / 4)::BIGINT AND gy = floor(y / 2)::BIGINT", _GRID))
