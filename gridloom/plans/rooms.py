@@ -46,14 +46,14 @@ def _y(o: int, bias: float) -> str:
     return f"round(sum(a * {_W.format(i=0, o=o)} + b * {_W.format(i=1, o=o)}) + {bias}, 5) AS y{o}"
 
 
-@R.add("agg25_input_layer", sql("SELECT floor(x)::BIGINT AS sx, semantic, arg_min(round(z, 6), (id, z)) AS first_z, arg_max(round(z, 6), (id, z)) AS last_z, round(sum(w), 7) AS sum_w, round(avg(y), 10) AS mean_y FROM p GROUP BY ALL"))
+@R.add("agg25_input_layer", sql("SELECT floor(x)::BIGINT AS sx, semantic, arg_min(round(z, 6), (id, z)) AS first_z, arg_max(round(z, 6), (id, z)) AS last_z, round(sum(w), 7) AS sum_w, round(avg(nx), 6) AS mean_nx FROM p GROUP BY ALL"))
 def input_layer(spark, sf):
-    p = points(spark, sf).select("semantic", grid.chunk_key("x", 1).alias("sx"), F.struct("id", "z").alias("ord"), F.round("z", 6).alias("z"), "w", "y")
+    p = points(spark, sf).select("semantic", grid.chunk_key("x", 1).alias("sx"), F.struct("id", "z").alias("ord"), F.round("z", 6).alias("z"), "w", "nx")
     keys, out = ["sx", "semantic"], None
-    for mode, column, name in (("first", "z", "first_z"), ("last", "z", "last_z"), ("sum", "w", "sum_w"), ("mean", "y", "mean_y")):
+    for mode, column, name in (("first", "z", "first_z"), ("last", "z", "last_z"), ("sum", "w", "sum_w"), ("mean", "nx", "mean_nx")):
         part = SP.input_layer(p, keys, "ord", [column], mode).withColumnRenamed(column, name)
         out = part if out is None else out.join(part, keys)
-    return out.select(*keys, "first_z", "last_z", F.round("sum_w", 7).alias("sum_w"), F.round("mean_y", 10).alias("mean_y"))
+    return out.select(*keys, "first_z", "last_z", F.round("sum_w", 7).alias("sum_w"), F.round("mean_nx", 6).alias("mean_nx"))
 
 
 @R.add("scn2_jn21_rule_book", sql("SELECT tap AS \"offset\", count(*) AS n, sum(o.sx * 1000 + o.sy)::BIGINT AS outs FROM t i, (SELECT unnest(range(0, 9)) AS tap) JOIN t o ON o.sx = i.sx - (tap // 3 - 1) AND o.sy = i.sy - (tap % 3 - 1) GROUP BY tap"))
