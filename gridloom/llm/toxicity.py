@@ -31,11 +31,12 @@ ENTRIES = 20_000
 #: Rest of crc32(doc_id) by FOLDS: 0 is held out, the last calibrates, the others are counted.
 FOLDS = 5
 #: Lengths of word beginnings; the prior's documents as a share of the counted ones; documents that an entry needs; standard errors of the bound; least score of an entry.
-STEMS, PRIOR, SUPPORT, ERRORS, LEAST = (4, 5, 6), 0.02, 3, 1.64, 0.5
+STEMS, PRIOR, SUPPORT, ERRORS, LEAST = (4, 5, 6), 0.02, 3, 1.64, 1.0
 #: What a word without an entry costs: so many times what clean documents gain a word, and at least this; significance that a reported passage needs.
 COST_TIMES, COST, SIGNIFICANT = 3.0, 0.01, 0.01
 WORD = re.compile(r"[^\W\d_]+")
-REMEMBERED = 300_000
+#: Words remembered by a worker, and documents whose entries are counted together.
+REMEMBERED, COUNTED = 150_000, 200
 
 
 def entries_of(word: str) -> list[str]:
@@ -134,8 +135,8 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of document weights by entry and class, one row for each entry of a batch."""
-    for b in batches:
+    """Sums of document weights by entry and class, one row for each entry of so many documents: a batch's entries would fill the worker's memory."""
+    for b in (x.slice(at, COUNTED) for x in batches for at in range(0, x.num_rows, COUNTED)):
         sums: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0])
         for text, toxic, weight in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
             for entry in {e for w in set(WORD.findall(text.lower())) for e in entries_of(w)}:
@@ -212,8 +213,9 @@ def _calibrated(model: Model, seen: list) -> Model:
     w = np.array([r.weight for r in seen])
     bare = x <= 0
     model.none = min(0.49, float(w[bare] @ y[bare] / max(1.0, w[bare].sum()))) if len(x) else 0.0
-    # Labels without any evidence say nothing about how much of it is enough.
-    x, y, w = x[~bare], y[~bare], w[~bare]
+    # Toxic labels without any evidence say nothing about how much of it is enough.
+    used = ~bare | (y == 0)
+    x, y, w = x[used], y[used], w[used]
     if not len(x) or y.min() == y.max():
         return model
     # Smoothed targets and a weak ridge keep the curve finite for separable classes.
