@@ -24,22 +24,27 @@ def histograms(nodes: DataFrame, room: str, label: str) -> DataFrame:
     return nodes.groupBy(room, label).agg(F.count(F.lit(1)).cast("double").alias("n"))
 
 
-def nearest_rooms(hist: DataFrame, query: DataFrame, room: str, label: str, most: int) -> DataFrame:
-    """For each room of a query set, the rooms of least squared histogram distance, a top-k; ties to the least id.
+#: Classes that a histogram has as columns, at most; the distance needs them side by side.
+CLASSES = 256
 
-    |a - b|^2 = |a|^2 + |b|^2 - 2 a.b: only common classes are joined, the query set's
-    norms meet the rooms' norms.
+
+def nearest_rooms(hist: DataFrame, query: DataFrame, room: str, label: str, most: int, blocks: int = 8) -> DataFrame:
+    """For each room of a stated query set, the rooms of least squared histogram distance, a top-k; ties to the least id.
+
+    Classes are few by nature and become columns, so a room is one row; the query set
+    meets all rooms in blocks, and each block keeps its own top before they are merged.
     """
-    norms = hist.groupBy(room).agg(F.sum(F.col("n") * F.col("n")).alias("sq"))
-    q = query.select(F.col(room).alias("query")).join(norms.withColumnsRenamed({room: "query", "sq": "q_sq"}), "query")
-    qh = hist.withColumnsRenamed({room: "query", "n": "q_n"}).join(query.select(F.col(room).alias("query")), "query", "left_semi")
-    dots = qh.join(hist, label).groupBy("query", room).agg(F.sum(F.col("q_n") * F.col("n")).alias("dot"))
-    # The stated query set against all rooms, in blocks.
-    blocks = 8
-    every = q.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(norms.withColumn("block", F.pmod(F.xxhash64(room), F.lit(blocks)).cast("int")), "block")
-    dist = every.join(dots, ["query", room], "left").select("query", room, (F.col("q_sq") + F.col("sq") - 2 * F.coalesce("dot", F.lit(0.0))).alias("distance")).where(F.col("query") != F.col(room))
-    rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", room))
-    return dist.withColumn("rank", rank).where(F.col("rank") <= most)
+    classes = [r[0] for r in hist.select(label).distinct().limit(CLASSES + 1).collect()]
+    if len(classes) > CLASSES:
+        raise ValueError(f"a histogram has at most {CLASSES} classes")
+    parts = [F.sum(F.when(F.col(label).eqNullSafe(F.lit(c)), F.col("n")).otherwise(0.0)).alias(f"c{i}") for i, c in enumerate(classes)]
+    wide = cut(hist.groupBy(room).agg(*parts))
+    q = wide.join(query.select(room), room, "left_semi").select(F.col(room).alias("query"), *[F.col(f"c{i}").alias(f"q{i}") for i in range(len(classes))], F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    every = q.join(wide.withColumn("block", F.pmod(F.xxhash64(room), F.lit(blocks)).cast("int")), "block").where(F.col("query") != F.col(room))
+    gap = sum(((F.col(f"q{i}") - F.col(f"c{i}")) * (F.col(f"q{i}") - F.col(f"c{i}")) for i in range(len(classes))), F.lit(0.0))
+    dist = every.select("query", room, "block", gap.alias("distance"))
+    near = dist.withColumn("rank", F.row_number().over(Window.partitionBy("query", "block").orderBy("distance", room))).where(F.col("rank") <= most)
+    return near.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("distance", room))).where(F.col("rank") <= most).drop("block")
 
 
 def instance_score(points: DataFrame, side: str, instance: str, matched: str, least: int, penalty: dict[str, float]) -> DataFrame:

@@ -144,8 +144,8 @@ def histogram(spark, sf):
     return room_hist(spark, sf)
 
 
-@R.add("top3_nearest_rooms", f"""WITH {_HIST}, d AS (SELECT a.room AS query, b.room AS room, a.sq + b.sq - 2 * coalesce((SELECT sum(x.n * y.n) FROM h x JOIN h y USING (label) WHERE x.room = a.room AND y.room = b.room), 0) AS distance
-  FROM nn a JOIN nn b ON a.room <> b.room WHERE a.room % 100 = 0)
+@R.add("top3_nearest_rooms", f"""WITH {_HIST}, dots AS (SELECT x.room AS query, y.room AS room, sum(x.n * y.n) AS dot FROM h x JOIN h y USING (label) WHERE x.room % 100 = 0 GROUP BY ALL),
+  d AS (SELECT a.room AS query, b.room AS room, a.sq + b.sq - 2 * coalesce(dot, 0) AS distance FROM nn a JOIN nn b ON a.room <> b.room LEFT JOIN dots ON dots.query = a.room AND dots.room = b.room WHERE a.room % 100 = 0)
   SELECT query, room, distance, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, room) AS rank FROM d) WHERE rank <= 20""")
 def nearest_rooms(spark, sf):
     """The 20 nearest rooms of the query set, every room whose id is divisible by 100, among all rooms."""
