@@ -14,6 +14,7 @@ CASES = [
     ("<article><p>x</p><div class='share-buttons'>Share</div><p style='display: none'>hid</p><script>1<2</script><p>y", "x\ny"),
     ("<article><p>a < b and c > d</p><unknown>z</unknown></article>", "a < b and c > d\nz"),
     ("<p>open <a href='x", "open"),
+    ("<article><div class='entry-header'><h2>Own</h2></div><div class='content'><p>text</p><div class='post-comments'>no</div><div class='siteHeader'>no</div></article>", "Own\ntext"),
 ]
 
 
