@@ -147,32 +147,38 @@ def grow_planes(xyz: np.ndarray, normals: np.ndarray, reach: float, least: int,
         got = np.array(sorted(got))
         return got[((xyz[got] - xyz[i]) ** 2).sum(axis=1) <= reach * reach]
 
-    def fit(p: np.ndarray) -> tuple[np.ndarray, float, float]:
-        c = p.mean(axis=0)
-        _, s, vt = np.linalg.svd(p - c, full_matrices=False)
-        return vt[2], float(-vt[2] @ c), float(s[2] / max(s[1], 1e-12))
+    def fit(n: int, total: np.ndarray, outer: np.ndarray) -> tuple[np.ndarray, float, float]:
+        """Plane and flatness from the sums of its points."""
+        c = total / n
+        values, vectors = np.linalg.eigh(outer / n - np.outer(c, c))
+        return vectors[:, 0], float(-vectors[:, 0] @ c), float(np.sqrt(max(values[0], 0)) / max(np.sqrt(max(values[1], 0)), 1e-12))
+
+    def sums(p: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+        return len(p), p.sum(axis=0), p.T @ p
 
     lists = [near(i) for i in range(len(xyz))]
-    residual = np.array([fit(xyz[n])[2] if len(n) >= 4 else np.inf for n in lists])
+    residual = np.array([fit(*sums(xyz[n]))[2] if len(n) >= 4 else np.inf for n in lists])
     label, visited, number = np.full(len(xyz), -1), np.zeros(len(xyz), bool), 0
     for seed in np.argsort(residual, kind="stable"):
         if visited[seed] or not np.isfinite(residual[seed]):
             continue
-        normal, offset, _ = fit(xyz[lists[seed]])
-        members, queue = [int(seed)], [int(seed)]
+        normal, offset, _ = fit(*sums(xyz[lists[seed]]))
+        members, queue, at = [int(seed)], [int(seed)], 0
+        total, outer = xyz[seed].copy(), np.outer(xyz[seed], xyz[seed])
         visited[seed] = True
-        while queue:
-            i = queue.pop(0)
-            for j in lists[i]:
-                if visited[j]:
-                    continue
-                visited[j] = True
-                if abs(xyz[j] @ normal + offset) <= reach / 1.8 and abs(normals[j] @ normal) >= agree:
-                    members.append(int(j))
-                    queue.append(int(j))
+        while at < len(queue):
+            new = lists[queue[at]]
+            at += 1
+            new = new[~visited[new]]
+            visited[new] = True
+            new = new[(np.abs(xyz[new] @ normal + offset) <= reach / 1.8) & (np.abs(normals[new] @ normal) >= agree)]
+            if len(new):
+                members += new.tolist()
+                queue += new.tolist()
+                total, outer = total + xyz[new].sum(axis=0), outer + xyz[new].T @ xyz[new]
             if len(members) >= 4:
-                normal, offset, _ = fit(xyz[members])
-        if len(members) >= max(least, 4) and fit(xyz[members])[2] < flat:
+                normal, offset, _ = fit(len(members), total, outer)
+        if len(members) >= max(least, 4) and fit(len(members), total, outer)[2] < flat:
             label[members] = number
             number += 1
     return label

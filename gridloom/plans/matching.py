@@ -27,42 +27,42 @@ def band_codes(spark, sf):
 
 
 _NEIGHBOUR = """SELECT q AS vec_id, arg_min(t, (h, t)) AS match, min(h) AS distance FROM (SELECT a.vec_id AS q, b.vec_id AS t, {h} AS h FROM {a} a JOIN {b} b ON {on}) GROUP BY q"""
-_SHARE = "a.table_id = b.table_id AND a.entry = b.entry AND a.vec_id % 2 = 0 AND b.vec_id % 2 = 1"
+_SHARE = "a.table_id = b.table_id AND a.entry = b.entry AND a.vec_id <> b.vec_id"
 
 
-def halves(spark, sf):
-    f = features(spark, sf)
-    return f.where("vec_id % 2 = 0"), f.where("vec_id % 2 = 1")
+def other():
+    """A feature is not matched with itself."""
+    return F.col("q.vec_id") != F.col("t.vec_id")
 
 
 @R.add("jn2_band_match", sql(_NEIGHBOUR.format(h=_H, a="band", b="band", on=_SHARE) + " HAVING min(h) < 50", _BANDED))
 def band_match(spark, sf):
-    q, t = halves(spark, sf)
-    return RT.band_matches(q, t, BANDS, "vec_id", "vec_id", 50)
+    f = features(spark, sf)
+    return RT.band_matches(f, f, BANDS, "vec_id", "vec_id", 50, extra=other())
 
 
-@R.add("jn3_band_match_all", sql("SELECT f.vec_id, match, coalesce(distance, 256) AS distance FROM f LEFT JOIN (" + _NEIGHBOUR.format(h=_H, a="band", b="band", on=_SHARE) + ") m USING (vec_id) WHERE f.vec_id % 2 = 0", _BANDED))
+@R.add("jn3_band_match_all", sql("SELECT f.vec_id, match, coalesce(distance, 256) AS distance FROM f LEFT JOIN (" + _NEIGHBOUR.format(h=_H, a="band", b="band", on=_SHARE) + ") m USING (vec_id)", _BANDED))
 def band_match_all(spark, sf):
-    q, t = halves(spark, sf)
-    return RT.band_matches(q, t, BANDS, "vec_id", "vec_id", None, how="left")
+    f = features(spark, sf)
+    return RT.band_matches(f, f, BANDS, "vec_id", "vec_id", None, how="left", extra=other())
 
 
 @R.add("jn4_ranged_match", sql(_NEIGHBOUR.format(h=_H, a="band", b="band", on=_SHARE + " AND (a.label - b.label) * (a.label - b.label) < 4") + " HAVING min(h) < 76", _BANDED))
 def ranged_match(spark, sf):
     """Only train features near the predicted place count."""
-    q, t = halves(spark, sf)
-    near = (F.col("q.label") - F.col("t.label")) * (F.col("q.label") - F.col("t.label")) < 4
-    return RT.band_matches(q, t, BANDS, "vec_id", "vec_id", 76, extra=near)
+    f = features(spark, sf)
+    near = other() & ((F.col("q.label") - F.col("t.label")) * (F.col("q.label") - F.col("t.label")) < 4)
+    return RT.band_matches(f, f, BANDS, "vec_id", "vec_id", 76, extra=near)
 
 
-@R.add("jn5_brute_match", sql(_NEIGHBOUR.format(h=_H, a="f", b="f", on="a.vec_id % 8 = 0 AND b.vec_id % 8 <> 0")))
+@R.add("jn5_brute_match", sql(_NEIGHBOUR.format(h=_H, a="f", b="f", on="a.vec_id % 100 = 0 AND b.vec_id <> a.vec_id")))
 def brute_match(spark, sf):
-    """Exhaustive nearest of a query set, the keyframes, against all other rows: the test of the band joins."""
+    """Exhaustive nearest of the query set, every row whose id is divisible by 100, among all others: the test of the band joins."""
     f = features(spark, sf)
     # The query set is stated and taken in blocks by hash, so that no task holds all of it.
-    q = f.where("vec_id % 8 = 0").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(8)))
-    t = f.where("vec_id % 8 <> 0").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(7))))
-    pairs = q.alias("q").join(t.alias("t"), F.col("q.block") == F.col("t.block"))
+    q = f.where("vec_id % 100 = 0").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))))
+    t = f.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(8)))
+    pairs = q.alias("q").join(t.alias("t"), (F.col("q.block") == F.col("t.block")) & (F.col("q.vec_id") != F.col("t.vec_id")))
     h = RT.hamming([F.col(f"q.{b}") for b in BANDS], [F.col(f"t.{b}") for b in BANDS]).cast("long")
     best = pairs.groupBy(F.col("q.vec_id").alias("vec_id")).agg(F.min(F.struct(h.alias("h"), F.col("t.vec_id").alias("id"))).alias("m"))
     return best.select("vec_id", F.col("m.id").alias("match"), F.col("m.h").alias("distance"))
@@ -237,10 +237,10 @@ def pose_refresh(spark, sf):
     return p.join(p.groupBy("submap").agg(F.avg("x").alias("mx"), F.avg("y").alias("my")), "submap").select("id", r6(F.col("x") + F.col("mx"), "x"), r6(F.col("y") + F.col("my"), "y"))
 
 
-@R.add("itr17_composed_edges", f"""WITH {POINTS_SQL}, g AS (SELECT camera AS a, submap + 100 AS b, avg(x) AS d FROM p WHERE z > 9 GROUP BY ALL) SELECT e.a AS a, f.b AS b, count(*) AS n, round(sum(e.d - f.d), 5) AS d
+@R.add("itr17_composed_edges", f"""WITH {POINTS_SQL}, g AS (SELECT camera AS a, submap + 100 AS b, avg(x) AS d FROM p GROUP BY ALL) SELECT e.a AS a, f.b AS b, count(*) AS n, round(sum(e.d - f.d), 5) AS d
   FROM (SELECT a, b, d FROM g) e JOIN (SELECT b AS a, a AS b, d FROM g) f ON e.b = f.a WHERE e.a < f.b GROUP BY ALL""")
 def composed_edges(spark, sf):
-    g = cut(points(spark, sf).where("z > 9").groupBy(F.col("camera").alias("a"), (F.col("submap") + 100).alias("b")).agg(F.avg("x").alias("d")))
+    g = cut(points(spark, sf).groupBy(F.col("camera").alias("a"), (F.col("submap") + 100).alias("b")).agg(F.avg("x").alias("d")))
     back = g.select(F.col("b").alias("b"), F.col("a").alias("c"), F.col("d").alias("d2"))
     both = g.join(back, "b").where("a < c").groupBy("a", F.col("c").alias("b2")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("d") - F.col("d2")), 5).alias("d"))
     return both.select("a", F.col("b2").alias("b"), "n", "d")

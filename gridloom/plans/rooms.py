@@ -302,16 +302,16 @@ def distance_peers(spark, sf):
 
 @R.add("itr19_agg21_plane_growing")
 def plane_growing(spark, sf):
-    """Planes of each submap by region growing; a submap's wall points are bounded by nature."""
-    scaled = points(spark, sf).where("camera = 0").select("submap", (F.col("x") / 10).alias("x"), (F.col("y") / 10).alias("y"), (F.col("z") / 10).alias("z"), "nx", "ny", "nz")
+    """Planes of each agent's submaps by region growing; a submap's wall points are bounded by nature."""
+    scaled = points(spark, sf).select("submap", "camera", (F.col("x") / 10).alias("x"), (F.col("y") / 10).alias("y"), (F.col("z") / 10).alias("z"), "nx", "ny", "nz")
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["x", "y", "z"])
         label = RM.grow_planes(pdf[["x", "y", "z"]].to_numpy(float), pdf[["nx", "ny", "nz"]].to_numpy(float), 0.5, 20)
         found, n = np.unique(label, return_counts=True)
-        return pd.DataFrame({"submap": pdf["submap"].iloc[0], "plane": found.astype("int64"), "n": n.astype("int64")})
+        return pd.DataFrame({"submap": pdf["submap"].iloc[0], "camera": pdf["camera"].iloc[0], "plane": found.astype("int64"), "n": n.astype("int64")})
 
-    return RM.by_group(scaled, ["submap"], "submap long, plane long, n long", grow)
+    return RM.by_group(scaled, ["submap", "camera"], "submap long, camera long, plane long, n long", grow)
 
 
 @R.add("itr21_lines")
@@ -334,14 +334,15 @@ def room_extraction(spark, sf):
 
 @R.add("itr29_itr31_scene_match")
 def scene_match(spark, sf):
-    """Rooms of a query set matched with themselves, moved: instance graphs, power iteration, verification."""
-    nodes = RM.instances(points(spark, sf).where("instance IS NOT NULL AND instance % 5 = 0"), ["submap", "instance"], "semantic", ["x", "y", "z"], 3)
+    """Every room matched with itself, moved: graphs of its classes' centres, power iteration, verification."""
+    named = points(spark, sf).withColumn("kind", F.col("semantic") % 4)
+    nodes = RM.instances(named, ["submap", "semantic"], "kind", ["x", "y", "z"], 1)
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("instance")
+        pdf = pdf.sort_values("semantic")
         xyz = pdf[["x", "y", "z"]].to_numpy(float)
         turned = xyz @ np.array([[0.8, -0.6, 0], [0.6, 0.8, 0], [0, 0, 1.0]]).T + [1, 2, 3]
-        found = ES.match_rooms(xyz, pdf["semantic"].tolist(), turned, pdf["semantic"].tolist(), rounds=300)
+        found = ES.match_rooms(xyz, pdf["kind"].tolist(), turned, pdf["kind"].tolist(), rounds=300)
         n = len(found[1]) if found else 0
         right = sum(i == j for i, j in found[1]) if found else 0
         return pd.DataFrame({"submap": [pdf["submap"].iloc[0]], "n_nodes": [len(pdf)], "n_pairs": [n], "n_right": [right]})

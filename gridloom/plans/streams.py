@@ -143,7 +143,7 @@ def normal_maps(spark, sf):
 def two_view(spark, sf):
     """Band match, then matches whose rotation agrees: candidates of the verified pairs."""
     f = features(spark, sf)
-    m = RT.band_matches(f.where("vec_id % 2 = 0"), f.where("vec_id % 2 = 1"), BANDS, "vec_id", "vec_id", 50)
+    m = RT.band_matches(f, f, BANDS, "vec_id", "vec_id", 50, extra=F.col("q.vec_id") != F.col("t.vec_id"))
     binned = m.withColumn("bin", F.pmod(F.col("match") - F.col("vec_id"), F.lit(18))).withColumn("grp", F.lit(0))
     return RT.main_rotation(binned, "grp", "bin").select("vec_id", "match", "distance")
 

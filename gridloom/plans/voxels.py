@@ -80,10 +80,12 @@ def retraction(spark, sf):
     return out.select(*KEYS, F.round("value", 5).alias("value"), F.round("weight", 5).alias("weight"))
 
 
-@R.add("jn10_vox4_allocate", sql("SELECT DISTINCT cx, cy, cz FROM g WHERE submap = 3 EXCEPT (SELECT cx, cy, cz FROM g WHERE submap = 1 UNION SELECT cx, cy, cz FROM g WHERE submap = 2)"))
+@R.add("jn10_vox4_allocate", sql("SELECT DISTINCT submap, cx, cy, cz FROM g EXCEPT SELECT submap + 1, cx, cy, cz FROM g"))
 def allocate(spark, sf):
-    df = fine(spark, sf)
-    return V.allocate(df.where("submap = 3"), df.where("submap = 1").select(*KEYS), df.where("submap = 2").select(*KEYS), KEYS)
+    """Cells that each submap creates: those that the one before has not."""
+    df = fine(spark, sf).select("submap", *KEYS).distinct()
+    none = df.limit(0)
+    return V.allocate(df, none, df.withColumn("submap", F.col("submap") + 1), ["submap", *KEYS])
 
 
 _UP = " UNION ALL ".join(f"SELECT cx - {n & 1} AS cx, cy - {n >> 1 & 1} AS cy, cz - {n >> 2 & 1} AS cz, {n} AS corner, v FROM m" for n in range(8))
@@ -106,19 +108,21 @@ def sdf_lookup(spark, sf):
     return V.lookup(ask, means, KEYS, "sdf", 999.0).select("id", r6("sdf", "sdf"))
 
 
-_NEAR = " UNION ".join(f"SELECT cx + {a}, cy + {b}, cz + {c} FROM c WHERE submap = 5" for a, b, c in V.faces(3))
+_NEAR = " UNION ".join(f"SELECT cx + {a}, cy + {b}, cz + {c} FROM g WHERE frame = 7" for a, b, c in V.faces(3))
 
 
-@R.add("jn13_dirty_set", sql(f"SELECT a.* FROM (SELECT DISTINCT cx, cy, cz FROM c) a JOIN ({_NEAR}) b(cx, cy, cz) USING (cx, cy, cz)"))
+@R.add("jn13_dirty_set", sql(f"SELECT a.* FROM (SELECT DISTINCT cx, cy, cz FROM g) a JOIN ({_NEAR}) b(cx, cy, cz) USING (cx, cy, cz)"))
 def dirty_set(spark, sf):
-    df = cells(spark, sf)
-    return V.dirty(df.where("submap = 5"), KEYS, df)
+    """What the newest frame touched, with face neighbours."""
+    df = fine(spark, sf)
+    return V.dirty(df.where("frame = 7"), KEYS, df)
 
 
-@R.add("set7_garbage", sql("SELECT DISTINCT cx, cy, cz, submap FROM c a WHERE submap < 10 AND EXISTS (SELECT 1 FROM c b WHERE b.submap = 11 AND a.cx = b.cx AND a.cy = b.cy AND a.cz = b.cz)"))
+@R.add("set7_garbage", sql("SELECT DISTINCT cx, cy, cz, submap FROM g a WHERE frame <= 3 AND EXISTS (SELECT 1 FROM g b WHERE b.frame > 3 AND a.cx = b.cx AND a.cy = b.cy AND a.cz = b.cz)"))
 def garbage(spark, sf):
-    df = cells(spark, sf)
-    return V.garbage(df.where("submap < 10").select(*KEYS, "submap").distinct(), df.where("submap = 11"), KEYS)
+    """Cells made by the first frames that a later one updated; the others go."""
+    df = fine(spark, sf)
+    return V.garbage(df.where("frame <= 3").select(*KEYS, "submap").distinct(), df.where("frame > 3"), KEYS)
 
 
 @R.add("set5_vox11_cluster_vertices", sql("""SELECT rep, count(*) AS n, min(id) AS least FROM (SELECT id, first_value(id) OVER (PARTITION BY floor(x / 5), floor(y / 5), floor(z / 5) ORDER BY frame, id) AS rep FROM c) GROUP BY rep"""))
