@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.session import cut, table
+from gridloom.session import cut, small, table
 
 SCOPE = 200
 
@@ -97,12 +97,23 @@ def linked(scanned: DataFrame, scope: int = SCOPE) -> DataFrame:
     return weak.join(c, near, "left_semi").groupBy(F.col("row").alias("__row")).agg(F.collect_set("s").alias("added"))
 
 
+def _held(scanned: DataFrame) -> DataFrame:
+    """Texts with weak candidates: __row, __base, __weak, written down. The running number keeps the filter above the scan, which else would be done twice."""
+    once = scanned.select("__row", "__base", "__weak", F.monotonically_increasing_id().alias("__n"))
+    return cut(once.where(F.size("__weak") > 0).drop("__n").distinct())
+
+
 def _all(scanned: DataFrame, held: DataFrame, scope: int) -> DataFrame:
-    """scanned with a column __found: base spans and, of texts with weak candidates, the linked ones. Only those texts' rows are shuffled. held: the same spans, to link from."""
+    """scanned with a column __found: base spans and the linked ones.
+
+    What is linked is a short list, counted and broadcast; a long one is joined by the
+    text's hash, where copies of a text may make the large side skewed, and adaptive
+    execution splits it.
+    """
     none = F.expr(f"cast(array() as {_EMPTY})")
-    plain = scanned.where(F.size("__weak") <= 0).withColumn("__found", F.col("__base"))
-    some = scanned.where(F.size("__weak") > 0).join(linked(held, scope), "__row", "left").select(*scanned.columns, F.array_sort(F.concat("__base", F.coalesce("added", none))).alias("__found"))
-    return plain.unionByName(some)
+    added = small(cut(linked(held, scope)).withColumnRenamed("__row", "__of"))
+    both = scanned.join(added, F.col("__row") == F.col("__of"), "left").drop("__of")
+    return both.withColumn("__found", F.array_sort(F.concat("__base", F.coalesce("added", none)))).drop("added")
 
 
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text", scope: int = SCOPE) -> DataFrame:
@@ -113,7 +124,7 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", scope: int =
     out as often as they go in; an empty table gives no rows; other columns are ignored.
     """
     rows = cut(scan(docs.select(F.col(key).alias("__id"), F.col(text).alias("__value")), "__value").drop("__value"))
-    out = _all(rows, rows, scope)
+    out = _all(rows, _held(rows), scope)
     told = lambda c: F.expr(f"array_join(transform({c}, s -> concat(s.kind, ':', s.start, ':', s.end)), ',')")
     n = [F.expr(f"cast(size(filter(__base, s -> s.kind = '{k}')) as long)").alias(f"n_{k}") for k in BASE]
     return out.select(F.col("__id").alias(key), *n, F.sha2(told("__base"), 256).alias("base_sha256"), told("__found").alias("spans"), F.col("__found").alias("found"))
@@ -126,7 +137,7 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", scope: int
     """
     names = docs.columns
     scanned = scan(docs, text)
-    rows = _all(scanned, cut(scanned.where(F.size("__weak") > 0).select("__row", "__base", "__weak").distinct()), scope)
+    rows = _all(scanned, _held(scanned), scope)
     step = f"if(s.start < a.at, struct(greatest(a.at, s.end) AS at, a.out AS out), struct(s.end AS at, concat(a.out, substring(`{text}`, a.at + 1, s.start - a.at), '[', s.kind, ']') AS out))"
     rows = rows.withColumn(text, F.expr(f"if(size(__found) <= 0, `{text}`, aggregate(__found, struct(0 AS at, '' AS out), (a, s) -> {step}, a -> concat(a.out, substring(`{text}`, a.at + 1))))"))
     if "n_chars" in names:
