@@ -145,9 +145,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     """
     rows = cut(fingerprints(docs, [F.col(key).alias("key")], text, words))
     found = groups(rows, F.col("key"), radius).where("n > 1 OR n_links > 0")
-    named = found.select(F.col("fp").alias("known"), "component_id", "n_links")
-    # Copies share a fingerprint: the large side may be skewed, and adaptive execution splits it.
-    out = rows.join(named, rows.fp == named.known, "left")
+    # Copies share a fingerprint, so the large side may be skewed: a short list is broadcast, a long one joined, where adaptive execution splits the skew.
+    named = small(cut(found.select(F.col("fp").alias("known"), "component_id", "n_links")))
+    out = rows.join(named, F.col("fp") == F.col("known"), "left")
     return out.select(
         F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.when(F.col("known").isNull(), F.col("key")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
@@ -162,8 +162,8 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: in
     names = docs.columns
     row = F.xxhash64(*[F.col(c).cast("string") for c in names])
     rows = cut(fingerprints(docs, [F.col(key).alias("key"), row.alias("row")], text, words))
-    shared = groups(rows, F.col("key"), radius).where("n > 1 OR n_links > 0").select(F.col("fp").alias("known"), F.col("root").alias("group"))
-    member = rows.join(shared, rows.fp == shared.known).groupBy("group", "key", "row").agg(F.count(F.lit(1)).alias("copies"))
+    shared = small(cut(groups(rows, F.col("key"), radius).where("n > 1 OR n_links > 0").select(F.col("fp").alias("known"), F.col("root").alias("group"))))
+    member = rows.join(shared, F.col("fp") == F.col("known")).groupBy("group", "key", "row").agg(F.count(F.lit(1)).alias("copies"))
     order = F.struct(F.col("key").isNull().alias("last"), "key", "row", "copies")
     best = member.groupBy("group").agg(F.min(order).alias("best"))
     # Rows that go: all members but the best of each group. Exact repeats of the best go below.
