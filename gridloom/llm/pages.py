@@ -44,8 +44,8 @@ HINTS = frozenset(
     "ad ads adbox advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert newsletter subscribe subscription signup login popup modal overlay "
     "sidebar aside nav navbar navigation menu breadcrumb breadcrumbs footer header masthead topbar toolbar comment comments commentlist disqus respond replies related recommended share sharing social widget pagination pager skip".split()
 )
-#: Names of the article's own parts, with which the mild hints don't count: an article's header holds its heading.
-OWN, MILD = frozenset("article post entry story content body".split()), frozenset("header masthead aside notice".split())
+#: Names of the article's own parts, with which the faint hints don't count: an article's header holds its heading.
+OWN, FAINT = frozenset("article post entry story content body".split()), frozenset("header masthead aside notice".split())
 TAG = re.compile(
     rf"""<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})(?=[\s/>])(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)|</?[a-zA-Z].*\Z""", re.S | re.I
 )
@@ -71,7 +71,7 @@ def _role(name: str, attrs: str) -> tuple[str, bool, bool]:
     names = {p.lower() for p in PART.findall(f"{own} {found.get('id', '')}")}
     hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", found.get("style", ""), re.I)
     hints = names & HINTS
-    named = bool(hints - MILD if names & OWN else hints) and (name != "article" or bool(names & {"comment", "comments", "related", "ad", "ads", "sponsored", "promo"}))
+    named = bool(hints - FAINT if names & OWN else hints) and (name != "article" or bool(names & {"comment", "comments", "related", "ad", "ads", "sponsored", "promo"}))
     return own, role in ROLES or bool(hidden) or named, False
 
 
