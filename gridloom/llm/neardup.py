@@ -165,7 +165,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: in
     shared = small(cut(groups(rows, F.col("key"), radius).where("n > 1 OR n_links > 0").select(F.col("fp").alias("known"), F.col("root").alias("group"))))
     member = rows.join(shared, F.col("fp") == F.col("known")).groupBy("group", "key", "row").agg(F.count(F.lit(1)).alias("copies"))
     order = F.struct(F.col("key").isNull().alias("last"), "key", "row", "copies")
-    best = member.groupBy("group").agg(F.min(order).alias("best"))
+    best = small(cut(member.groupBy("group").agg(F.min(order).alias("best"))))
     # Rows that go: all members but the best of each group. Exact repeats of the best go below.
     ranked = cut(member.join(best, "group").select("key", "row", (F.col("best.key").eqNullSafe(F.col("key")) & (F.col("best.row") == F.col("row"))).alias("stays"), "copies"))
     gone = ranked.where(~F.col("stays")).select(F.col("key").alias("gone_key"), F.col("row").alias("gone_row"))
