@@ -21,8 +21,8 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of the smallest doc_id stays (operator 2)."""
-    return neardup.keep_one(docs)
+    """Of each group of near copies, five-word similarity 0.8 or more, the document of the smallest doc_id stays."""
+    return neardup.keep_similar(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

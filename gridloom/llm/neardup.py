@@ -23,6 +23,12 @@ from pyspark.sql import functions as F
 from gridloom.session import cut, ship, small, table
 
 WORDS, SEED, RADIUS = 3, 42, 3
+#: Words of a shingle and the least similarity of near copies, a fraction, where shingle sets are compared.
+SET_WORDS, LEAST = 5, (4, 5)
+#: Every so many texts one is looked at for common shingles; how often such a one stands there, and how many are remembered.
+EVERY, OFTEN, COMMON = 64, 3, 300_000
+#: Bits of a set's sketch; each shingle flips one.
+SKETCH = 2048
 #: Bytes of a text that are cut into words at a time.
 SLICE = 1 << 20
 SPACES = b" \t\n\r\x0b\x0c"
@@ -154,15 +160,143 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     )
 
 
+def shingles(text: str | None, words: int = SET_WORDS, seed: int = SEED) -> np.ndarray:
+    """The XXH64 of the text's different word shingles in order, as signed numbers; fewer words than a shingle has: of the whole sequence; none: none."""
+    digest, parts = xxhash.xxh64_intdigest, []
+    for found in _word_blocks((text or "").encode("utf-8", "surrogatepass").lower(), words):
+        if len(found) >= words:
+            parts.append(np.array([digest(b" ".join(x), seed) for x in zip(*(found[i:] for i in range(words)), strict=False)], np.uint64))
+        elif found and not parts:
+            parts.append(np.array([digest(b" ".join(found), seed)], np.uint64))
+    return np.unique(np.concatenate(parts)).view(np.int64) if parts else np.empty(0, np.int64)
+
+
+def _sets(docs: DataFrame, passed: list[Column | str], text: str, words: int) -> DataFrame:
+    """Columns passed, and set (the text's shingles)."""
+    ship(docs.sparkSession)
+    rows = docs.select(*passed, F.col(text).cast("string").alias("__text"))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 100):
+                part = batch.slice(at, 100)
+                found = pa.array([shingles(x.as_py(), words) for x in part.column(part.num_columns - 1)], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], found], [*part.schema.names[:-1], "set"])
+
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
+    return rows.mapInArrow(each, ", ".join([*fields, "`set` array<long>"]))
+
+
+def _prefixes(docs: DataFrame, passed: list[Column | str], text: str, words: int, least: tuple[int, int]) -> DataFrame:
+    """Columns passed, fp (the hash of the shingle set), n (its size), sketch and prefix: sets as similar as least share a shingle of their prefixes.
+
+    Two sketches differ in no more bits than the sets differ in shingles.
+
+    Any order of shingles that is the same for all texts will do; common shingles, as a
+    sample shows them, come last, so that few texts meet at one.
+    """
+    every = _sets(docs.where(F.pmod(F.xxhash64(F.col(text).cast("string")), F.lit(EVERY)) == 0), [], text, words).select(F.explode("set").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+    common = every.where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "x").limit(COMMON).orderBy("x").toPandas()
+    known, times = common["x"].to_numpy(np.int64), common["n"].to_numpy(np.int64)
+    up, down = least
+    rows = docs.select(*passed, F.col(text).cast("string").alias("__text"))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, sizes, heads, flips = [], [], [], []
+            for x in batch.column(batch.num_columns - 1):
+                found = shingles(x.as_py(), words)
+                n = len(found)
+                often = np.zeros(n, np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+                    often = np.where(known[at] == found, times[at], 0)
+                fps.append(xxhash.xxh64_intdigest(np.sort(found).tobytes(), SEED))
+                sizes.append(n)
+                odd = np.bincount(found.view(np.uint64) % np.uint64(SKETCH), minlength=SKETCH) & 1
+                flips.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+                heads.append(found[np.lexsort((found, often))[: n - -(-n * up // down) + 1]])
+            cols = [pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(flips, pa.list_(pa.int64())), pa.array(heads, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *cols], [*batch.schema.names[:-1], "fp", "n", "sketch", "prefix"])
+
+    ship(docs.sparkSession)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    return rows.mapInArrow(each, f"{fields}, fp long, n long, sketch array<long>, prefix array<long>")
+
+
+def similar(rows: DataFrame, texts: DataFrame, words: int = SET_WORDS, least: tuple[int, int] = LEAST) -> DataFrame:
+    """(node, root) of all sets with a chain of sets between them whose neighbours have a Jaccard similarity of at least least.
+
+    rows: row, fp, n, sketch, prefix as by _prefixes; texts: row, text. Pairs that share a shingle
+    of their prefixes are compared by their whole sets. First each set is compared with the
+    smallest one at each of its shingles; then only sets that are not yet tied are
+    compared, so that a large group of near copies does not meet pair by pair.
+    """
+    up, down = least
+    same = cut(rows.groupBy("fp").agg(F.min("row").alias("best"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select(F.col("fp").alias("known"), "best"))
+    one = rows.join(small(same), F.col("fp") == F.col("known"), "left").where("known IS NULL OR row = best")
+    each = one.select("fp", "row", "n", "sketch")
+    # Dealt out by shingle once: the aggregate, the join and the distinct rows need no other exchange.
+    met = one.select("fp", F.explode("prefix").alias("x")).repartition("x")
+    shared = met.groupBy("x").agg(F.min("fp").alias("first"), F.max("fp").alias("last")).where("first <> last").select("x", "first")
+    held = cut(met.join(shared, "x").distinct())
+
+    def near(pairs: DataFrame) -> DataFrame:
+        """The pairs (u, v) that are similar."""
+        size = small(cut(pairs.select("u").union(pairs.select("v")).distinct().toDF("fp").join(each.select("fp", "n", "sketch").dropDuplicates(["fp"]), "fp")), 20_000)
+        sized = pairs.join(size.toDF("u", "nu", "su"), "u").join(size.toDF("v", "nv", "sv"), "v").where(F.least("nu", "nv") * down >= F.greatest("nu", "nv") * up)
+        differ = F.aggregate(F.zip_with("su", "sv", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
+        tried = cut(sized.where(differ * (up + down) <= (F.col("nu") + F.col("nv")) * (down - up)).select("u", "v", "nu", "nv"))
+        wanted = small(cut(each.join(tried.select("u").union(tried.select("v")).distinct().toDF("fp"), "fp").select("row", "fp")))
+        # Rows with the same hash of all columns have the same text.
+        sets = cut(_sets(texts.join(wanted, "row").select("fp", "text").dropDuplicates(["fp"]), ["fp"], "text", words))
+        full = tried.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v")
+        return cut(full.where(F.size(F.array_intersect("a", "b")) * (up + down) >= (F.col("nu") + F.col("nv")) * up).select("u", "v"))
+
+    # first is the smaller of the two, so a pair is (u, v) with u < v here and below.
+    firsts = cut(held.where("fp <> first").select(F.col("first").alias("u"), F.col("fp").alias("v")).distinct())
+    ties = near(firsts)
+    tied = components(ties)
+    at = cut(held.join(small(cut(tied)).withColumnRenamed("node", "fp"), "fp", "left").select("x", "fp", F.coalesce("root", "fp").alias("root")))
+    roots = at.select("x", "root").distinct()
+    split = cut(roots.groupBy("x").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("x"))
+    at = cut(at.join(small(split), "x"))
+    # First the roots that meet at a shingle, then their members: tied sets are never paired.
+    roots = at.select("x", "root").distinct()
+    others = roots.alias("p").join(roots.alias("q"), (F.col("p.x") == F.col("q.x")) & (F.col("p.root") < F.col("q.root"))).select(F.col("p.x").alias("x"), F.col("p.root").alias("root"), F.col("q.root").alias("other"))
+    sides = at.join(others, ["x", "root"]).select("x", "other", F.col("fp").alias("a"))
+    pairs = sides.join(at.select("x", F.col("root").alias("other"), F.col("fp").alias("b")), ["x", "other"]).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+    return components(ties.union(near(cut(pairs.join(small(firsts), ["u", "v"], "left_anti")))))
+
+
+def keep_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = SET_WORDS, least: tuple[int, int] = LEAST) -> DataFrame:
+    """As keep_one, where texts are near copies if the Jaccard similarity of their word shingles is at least least; all such pairs are found."""
+    row = _row(docs)
+    rows = cut(_prefixes(docs, [F.col(key).alias("key"), row.alias("row")], text, words, least))
+    tied = similar(rows.select("row", "fp", "n", "sketch", "prefix"), docs.select(row.alias("row"), F.col(text).alias("text")), words, least)
+    copies = rows.groupBy("fp").agg(F.count(F.lit(1)).alias("copies"))
+    known = copies.join(tied, copies.fp == tied.node, "left").where("copies > 1 OR root IS NOT NULL")
+    shared = small(cut(known.select(F.col("fp").alias("known"), F.coalesce("root", "fp").alias("group"))))
+    return _best(docs, rows.select("key", "row", "fp"), shared, key)
+
+
+def _row(docs: DataFrame) -> Column:
+    return F.xxhash64(*[F.col(c).cast("string") for c in docs.columns])
+
+
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """The rows of docs without all but one of each component: the row of the smallest key, ties by the hash of all columns.
 
     Exactly repeated rows are one row. Columns stay as they are; a null key comes last.
     """
-    names = docs.columns
-    row = F.xxhash64(*[F.col(c).cast("string") for c in names])
-    rows = cut(fingerprints(docs, [F.col(key).alias("key"), row.alias("row")], text, words))
+    rows = cut(fingerprints(docs, [F.col(key).alias("key"), _row(docs).alias("row")], text, words))
     shared = small(cut(groups(rows, F.col("key"), radius).where("n > 1 OR n_links > 0").select(F.col("fp").alias("known"), F.col("root").alias("group"))))
+    return _best(docs, rows, shared, key)
+
+
+def _best(docs: DataFrame, rows: DataFrame, shared: DataFrame, key: str) -> DataFrame:
+    """The rows of docs without all but the best of each group; rows: key, row, fp; shared: known (an fp), group."""
+    names, row = docs.columns, _row(docs)
     member = rows.join(shared, F.col("fp") == F.col("known")).groupBy("group", "key", "row").agg(F.count(F.lit(1)).alias("copies"))
     order = F.struct(F.col("key").isNull().alias("last"), "key", "row", "copies")
     best = small(cut(member.groupBy("group").agg(F.min(order).alias("best"))))

@@ -93,3 +93,34 @@ def test_nulls_ties_repeats_extra_columns(spark):
     again = spark.createDataFrame([(5, text, "x")] * 3, "doc_id long, text string, fp string")
     assert neardup.keep_one(again).count() == 1
     assert neardup.near_duplicates(docs.limit(0)).count() == 0 and neardup.keep_one(docs.limit(0)).count() == 0
+
+
+def five_words(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or {tuple(words)}
+
+
+def test_similar_texts_are_those_of_all_pairs(spark, sf):
+    rng = random.Random(3)
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").limit(80).collect()]
+    line = "this line stands in a great many of the texts that follow here"
+    for i in range(30):
+        words = [f"w{rng.randrange(9**6)}" for _ in range(200)]
+        texts.append(" ".join([line, *words]))
+        for edits in (1, 4, 6, 9):
+            copy = list(words)
+            for at in rng.sample(range(200), edits):
+                copy[at] = f"e{i}"
+            texts.append(" ".join([line, *copy]))
+    base = [f"b{i}" for i in range(150)]
+    texts += [" ".join([*base[:i], "x", *base[i + 1 :]]) for i in range(0, 150, 3)]
+    rng.shuffle(texts)
+    sets, group = [five_words(t) for t in texts], list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                low, high = sorted((group[a], group[b]))
+                group = [low if g == high else g for g in group]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in neardup.keep_similar(docs).collect()} == set(group)
+    assert len(set(group)) < len({r.doc_id for r in neardup.keep_one(docs).collect()}) - 30
