@@ -57,6 +57,13 @@ def strided_sites(sites: DataFrame, keys: Sequence[str], size: int, stride: int,
     return out.withColumn("offset", place.cast("int")).drop(*keys).withColumnsRenamed({f"__o{k}": k for k in keys})
 
 
+def extent_of(sites: DataFrame, keys: Sequence[str], size: int, stride: int) -> int:
+    """The least extent, in whole strides, whose windows hold all sites; keys are 0 or more."""
+    top = sites.agg(*[F.max(k) for k in keys]).first()
+    last = max((x for x in top if x is not None), default=0)
+    return size + max(0, -(-(last + 1 - size) // stride)) * stride
+
+
 def strided(sites: DataFrame, keys: Sequence[str], features: Sequence[str], size: int, stride: int, extent: int, weights, bias) -> DataFrame:
     return _applied(strided_sites(sites, keys, size, stride, extent), keys, features, weights, bias)
 

@@ -72,7 +72,8 @@ _STRIDED = "(SELECT t.*, ox, oy, (t.sx - 2 * ox) * 3 + (t.sy - 2 * oy) AS tap FR
 
 @R.add("scn3_strided", sql(f"SELECT ox AS sx, oy AS sy, {_y(0, 0.1)}, {_y(1, 0.2)} FROM {_STRIDED} GROUP BY ox, oy"))
 def strided(spark, sf):
-    out = SP.strided(sites(spark, sf), K, ["a", "b"], 3, 2, 64, table_of(9, 2, 2), [0.1, 0.2])
+    s = sites(spark, sf)
+    out = SP.strided(s, K, ["a", "b"], 3, 2, SP.extent_of(s, K, 3, 2), table_of(9, 2, 2), [0.1, 0.2])
     return out.select(*K, *[F.round(f"y{o}", 5).alias(f"y{o}") for o in range(2)])
 
 
@@ -80,7 +81,7 @@ def strided(spark, sf):
 def transposed(spark, sf):
     s = sites(spark, sf)
     coarse = SP.pool(s, K, ["a", "b"], 2, "active")
-    out = SP.transposed(coarse, s, K, ["a", "b"], 3, 2, 64, table_of(9, 2, 1), [0.0])
+    out = SP.transposed(coarse, s, K, ["a", "b"], 3, 2, SP.extent_of(s, K, 3, 2), table_of(9, 2, 1), [0.0])
     return out.select(*K, F.round("y0", 8).alias("y0"))
 
 
@@ -122,7 +123,8 @@ def unet(spark, sf):
     def params(name, ins, outs, taps):
         return [[[weight(t + len(name), i, o) / ins for o in range(outs)] for i in range(ins)] for t in range(taps)], [0.01] * outs
 
-    out = SP.unet(sites(spark, sf), K, ["a", "b"], 2, 64, params)
+    s = sites(spark, sf)
+    out = SP.unet(s, K, ["a", "b"], 2, SP.extent_of(s, K, 2, 2), params)
     return out.select(*K, F.round("a", 4).alias("a"), F.round("b", 4).alias("b"))
 
 
