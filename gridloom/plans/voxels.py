@@ -174,9 +174,8 @@ def room_area(spark, sf):
 
 @R.add("set3_concatenated_clouds", sql("SELECT submap, count(*) AS n, round(sum(x), 4) AS x FROM (SELECT submap, x FROM c WHERE camera = 0 UNION ALL SELECT submap, x + 100 FROM c WHERE camera = 1 UNION ALL SELECT submap, x + 200 FROM c WHERE camera = 2) GROUP BY submap"))
 def concatenated_clouds(spark, sf):
-    p = points(spark, sf)
-    parts = [p.where(F.col("camera") == i).select("submap", (F.col("x") + 100 * i).alias("x")) for i in range(3)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("submap").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("x"), 4).alias("x"))
+    p = points(spark, sf).select("submap", (F.col("x") + F.col("camera") * 100).alias("x"))
+    return p.groupBy("submap").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("x"), 4).alias("x"))
 
 
 @R.add("set4_unlabelled_submaps", sql("SELECT DISTINCT submap FROM c EXCEPT SELECT submap FROM c WHERE semantic = 1 AND camera = 2 AND z > 9.5 AND x < 8"))
