@@ -18,6 +18,30 @@ CASES = [
 ]
 
 
+LONG = "a sentence of some ten words that stands in this article " * 3
+CASES += [
+    # Stray quotes, as browsers read them.
+    ("<article><p title=it's>one</p><p data-x=5\">two</p><p a='b\"c' \"d>three</p><p>four's \"five\"</p></article>", "one\ntwo\nthree\nfour's \"five\""),
+    ("<article><p class=\"open>x</p><p>y", "x\ny"),
+    # Names that tell of a state, or of what a text is about, are no hints.
+    ("<article class='post has-related'><p>in</p></article><div class='related'>out</div>", "in"),
+    ("<div class='post has-comments'><h1>Head</h1><p>in</p></div>", "Head\nin"),
+    ("<div class='entry-content social-on'><p>in</p></div>", "in"),
+    ("<article><section id='data-sharing'><h2>Sharing data</h2><p>in</p></section><section id='comments'><p>out</p></section></article>", "Sharing data\nin"),
+    # A name alone never takes most of a page.
+    (f"<body><div class='widget'><p>{LONG}</p></div><p>rest</p>", LONG.strip() + "\nrest"),
+    # Comments go even where they are longer than the article.
+    (f"<article><p>short</p><div class='comments'><p>{LONG}</p></div></article>", "short"),
+    ("<article><svg/><p>x</p><noscript><p>no</p></noscript><svg><title>t</title></svg><p>y</p></article>", "x\ny"),
+    ("<article><!--> a --><p>x</p><!-- b --!><p>y</p></ z><p>w</p></article>", "a -->\nx\ny\nw"),
+]
+
+
+def test_long_tags_and_texts_are_read_in_linear_time():
+    for source in ("<p " + "a" * 300_000, "<p " + "a=' " * 100_000, "<" * 300_000, "<article>" + "<p x='" * 20_000 + "z", "<article>" + "<div>" * 2000 + "x " * 300_000):
+        P.extract(P.parse(source))
+
+
 @pytest.mark.parametrize("source,want", CASES)
 def test_extraction(source, want):
     assert P.extract(P.parse(source)) == want
@@ -44,13 +68,53 @@ def test_query(spark, sf):
         assert "".join(r.text.split()) == "".join(P.entities.unescape(P.re.sub("<[^>]*>", "", inner)).split())
 
 
+def texts(frame):
+    return {r.page_id: r.text for r in P.main_text(frame).collect()}
+
+
 def test_vectors_against_plain_counting(spark):
-    rows = [(i, "http://h/x", f"<div><p>a{i % 2}</p><p>same</p><p>also</p></div>") for i in range(8)]
+    rows = [(i, "http://h/x", f"<div><p>a{i % 2} {'own words here ' * 5}</p><p>same</p><p>also</p>{'<p>often</p>' * (i > 0)}{'<p>half</p>' * (i % 2)}</div>") for i in range(8)]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string")
-    (found,) = P.templates(frame).collect()
-    counts = [P.tokens(P.parse(x)) for _, _, x in rows]
+    found, _ = P.templates(frame)
+    (found,) = found.collect()
+    counts = [{**{t: 1 for t in n}, **{t: row[4] for t, row in x.items()}} for n, x in (P.measure(P.parse(h)) for _, _, h in rows)]
+    nodes = {t for _, _, h in rows for t in P.parse(h).nodes}
     vectors = {}
     for t in {t for c in counts for t in c}:
         vectors.setdefault(tuple(c.get(t, 0) for c in counts), set()).add(t)
-    want = {t for v, ts in vectors.items() if sum(map(bool, v)) >= 0.8 * 8 and len(ts) >= 2 for t in ts}
-    assert set(found.template) == want and want
+    want = {t for v, ts in vectors.items() if sum(map(bool, v)) >= 0.8 * 8 and len(ts) >= 2 for t in ts} - nodes
+    # "often" stands on seven of eight pages, but alone in its class.
+    assert set(found.own) == want and want == {P._hash("text", "/div/p", x) for x in ("same", "also")}
+
+
+def page(i, article, ad=True):
+    """Neither article elements nor names: only what repeats and what doesn't tells the parts."""
+    ads = f"<div><div>Buy thing {i}</div></div>" if ad else ""
+    return f"<html><body><div><div>Our shop and more</div><div><a href=/>Home</a></div></div>{ads}<div><div><h1>Title {i}</h1><p>{article}</p><p>Written by our staff</p></div></div><div>All rights reserved</div></body></html>"
+
+
+def test_slots_decide_without_names(spark):
+    word = lambda i: " ".join(f"word{i}x{j}" for j in range(40))
+    rows = [(i, f"http://h.example/{i}", page(i, word(i) if i else "tiny")) for i in range(6)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = texts(frame)
+    assert got == {i: f"Title {i}\n{word(i) if i else 'tiny'}" for i in range(6)}
+    # Without the template the page's own tree says less: the result is the method's.
+    assert P.extract(P.parse(rows[0][2])) == "Our shop and more\nHome\nBuy thing 0\nTitle 0\ntiny\nWritten by our staff\nAll rights reserved"
+
+
+@pytest.mark.parametrize("n", [1, 2, 3])
+def test_hosts_of_few_pages(spark, n):
+    word = lambda i: " ".join(f"word{i}x{j}" for j in range(40))
+    rows = [(i, f"http://h.example/{i}", page(i, word(i))) for i in range(n)]
+    others = [(100 + i, f"http://o{i}.example/", page(i, word(i))) for i in range(9)]
+    got = texts(spark.createDataFrame(rows + others, "page_id long, url string, html string"))
+    # A page alone on its host takes the slot of all hosts; what is its host's own text can't be known.
+    tail = "" if n > 1 else "\nWritten by our staff"
+    assert [got[i] for i in range(n)] == [f"Title {i}\n{word(i)}{tail}" for i in range(n)]
+
+
+def test_copies_of_a_page_keep_their_text(spark):
+    rows = [(i, "http://h.example/", f"<body><div>{'one article in many copies ' * 9}</div><div>ad {i}</div></body>") for i in range(5)]
+    got = texts(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert set(got.values()) == {("one article in many copies " * 9).strip()}
