@@ -1,7 +1,10 @@
+import math
 import random
+import time
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom.llm import toxicity as T
 
@@ -29,6 +32,24 @@ def test_segments_against_the_definition():
         assert got == [(a, b, round(s, 6)) for a, b, s in all_segments(scores)]
 
 
+def test_segments_are_linear_in_scattered_hits():
+    began = time.perf_counter()
+    assert len(T.segments([(i * 400, 2.0) for i in range(100_000)], cost=0.02)) == 100_000
+    assert len(T.segments([(i, 2.0) for i in range(100_000)], cost=0.02)) == 1
+    assert time.perf_counter() - began < 1
+
+
+def test_segments_together_weigh_more_than_the_best():
+    m = T.Model({}, rate=0.8, scale=0.01)
+    assert m.together([], 10) == m.together([0.0], 10) == 0
+    assert m.together([9.0], 100) == m.evidence(9.0, 100)
+    assert m.together([9.0, 9.0], 100) > m.together([9.0], 100)
+    # Segments that any text of this length has add nothing.
+    assert m.together([9.0] + [1.0] * 50, 10_000) == m.evidence(9.0, 10_000)
+    x = 2 * (0.8 * 9 - math.log(0.01 * 100))
+    assert abs(m.together([9.0, 9.0], 100) + math.log10(math.exp(-x) * x / 2 * 2)) < 1e-9
+
+
 def test_evidence_grows_with_the_segment_and_falls_with_length():
     m = T.Model({}, rate=0.8, scale=0.01)
     assert m.evidence(0, 100) == 0 and m.evidence(5, 0) == 0
@@ -59,6 +80,12 @@ def test_edge_rows(spark):
     assert T.score(docs.limit(0), model, ["doc_id"]).count() == 0
     clean = T.kept(docs, model)
     assert clean.columns == docs.columns and sorted(str(r.doc_id) for r in clean.collect()) == ["1", "2", "4", "None"]
+    odd = docs.selectExpr("doc_id", "text", "score", *[f"1 AS {c}" for c in ("k", "y", "key", "weight", "sig", "tune", "entry", "toxic", "best", "n_passages", "passages")])
+    assert T.kept(odd, model).columns == odd.columns
+    assert T.score(odd, model, odd.columns).columns == [*odd.columns, "score_", "best_", "n_passages_", "passages_"]
+    many = spark.createDataFrame([(i, f"bad nasty words {i}" if i % 2 else f"good kind words {i}", i) for i in range(200)], "doc_id long, text string, k long").withColumn("y", F.lit(0))
+    learnt = T.train(many, spark.createDataFrame([(i, i % 2, 1) for i in range(200)], "doc_id long, toxic int, k int"))
+    assert learnt.scores and T.kept(many, learnt).where("doc_id % 2 = 1").count() == 0 and T.kept(many, learnt).count() == 100
     none = T.train(docs, spark.createDataFrame([(1, 1), (None, 0)], "doc_id long, toxic int"))
     assert none.scores == {}
     held = docs.select("doc_id", (T.fold("doc_id") == 0).alias("h")).collect()
