@@ -13,27 +13,27 @@ def signed(x):
     return x - 2**64 if x >= 2**63 else x
 
 
-def draw(key, leaf):
-    seed = xxhash.xxh64_intdigest(leaf.name.encode(), 42)
+def draw(key, name, weight):
+    seed = xxhash.xxh64_intdigest(name.encode(), 42)
     h = xxhash.xxh64_intdigest(int(key).to_bytes(8, "little", signed=True), seed) if key is not None else seed
-    return -math.log(((h >> 11) + 0.5) / 2**53) / leaf.weight
+    return -math.log(((h >> 11) + 0.5) / 2**53) / weight
 
 
 def plain(key, tree):
-    """Descent from the root: at each node the child with the least draw, a node's draw being the least of its leaves'."""
-    left = [x for x in tree if x.weight > 0]
-    for level in (lambda x: x.region, lambda x: x.rack, lambda x: x.shard):
-        nodes = {}
+    """Descent from the root: at each node the child with the least draw by its subtree's weight."""
+    left, path = [x for x in tree if x.weight > 0], ""
+    for level in (lambda x: x.region, lambda x: x.rack, lambda x: str(x.shard)):
+        weights = Counter()
         for x in left:
-            nodes[level(x)] = min(nodes.get(level(x), math.inf), draw(key, x))
-        best = min(nodes, key=nodes.get)
-        left = [x for x in left if level(x) == best]
+            weights[level(x)] += x.weight
+        best = min(weights, key=lambda n: draw(key, f"{path}/{n}", weights[n]))
+        left, path = [x for x in left if level(x) == best], f"{path}/{best}"
     return left[0].shard
 
 
 def placed(spark, keys, tree):
     df = spark.createDataFrame([(k,) for k in keys], "k long")
-    return {r.k: r.s for r in df.select("k", S.place(F.col("k"), tree).alias("s")).collect()}
+    return {r.k: r.shard for r in S.place(df, F.col("k"), tree).collect()}
 
 
 def test_descent(spark):
@@ -48,20 +48,33 @@ def test_weights_and_confined_movement(spark):
     share = Counter(before.values())
     for x in tree:
         assert abs(share[x.shard] / 12000 - x.weight / 12) < 0.02
-    heavier = [S.Leaf(x.shard, x.region, x.rack, 4.0) if x.shard == 3 else x for x in tree]
-    after = placed(spark, range(12000), heavier)
-    assert {after[k] for k in before if before[k] != after[k]} == {3}
-    without = placed(spark, range(12000), [x for x in tree if x.shard != 5])
-    assert {before[k] for k in before if before[k] != without[k]} == {5}
+    # Shards 0-3 are region r0, 2 and 3 its rack k1.
+    heavier = placed(spark, range(12000), [S.Leaf(x.shard, x.region, x.rack, 4.0) if x.shard == 3 else x for x in tree])
+    moves = {(before[k], heavier[k]) for k in before if before[k] != heavier[k]}
+    assert any(a == 2 and b == 3 for a, b in moves) and any(a < 2 and b in (2, 3) for a, b in moves) and any(a > 3 and b < 2 for a, b in moves)
+    assert not any(a < 4 <= b or (a in (2, 3) and b < 2) or (a == 3 and b == 2) or {a, b} == {0, 1} or (a > 3 and b > 3) for a, b in moves)
+    # A shard as a region of its own takes keys only into itself.
+    grown = placed(spark, range(12000), S.grown_tree(tree))
+    assert {grown[k] for k in before if before[k] != grown[k]} == {8}
+    # Racks matter: the same leaves in other racks place other keys.
+    other = placed(spark, range(12000), [S.Leaf(x.shard, x.region, f"k{x.shard % 2}", x.weight) for x in tree])
+    assert any(before[k] != other[k] for k in before) and all(before[k] // 4 == other[k] // 4 for k in before)
     with pytest.raises(ValueError):
-        S.place(F.lit(1), [S.Leaf(0, "a", "b", 0.0)])
+        S.place(spark.range(1), F.col("id"), [S.Leaf(0, "a", "b", 0.0)])
+
+
+def test_only_the_entered_branch_is_read(spark):
+    plan = S.place(spark.range(1), F.col("id"), S.default_tree(8))._jdf.queryExecution().optimizedPlan().toString()
+    # Three projects: region, then rack by region, then shard by rack.
+    assert plan.count("CASE WHEN") == 2 and plan.count("Project") == 3
 
 
 def test_query(spark, sf):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     got = S.op9_sharding(spark, sf).collect()
     assert {r.doc_id for r in got} == set(texts) and len(got) == len(texts)
-    old, new = S.default_tree(8), S.default_tree(9)
+    old = S.default_tree(8)
+    new = S.grown_tree(old)
     for r in got:
         data = texts[r.doc_id].encode()
         assert (r.size, r.text_crc32, r.law) == (len(data) + 1, zlib.crc32(data), "key")
