@@ -4,15 +4,16 @@ Fingerprints of 64 bits are cut into 32 segments of two bits.  A segment's bit c
 0, 1 or 2; kept in unary (00, 01, 11) the counts of a fingerprint fill 64 bits again, and
 the Manhattan distance of two count vectors is the number of differing unary bits.  A
 flipped bit moves one count by at most one, so the Manhattan distance never exceeds the
-Hamming distance.  Of the two halves of the vector, one differs by at most
-``radius // 2`` if the whole differs by at most ``radius``: each half is a grid whose
-cells are its count vectors, and fingerprints are joined to the cells within reach.
-Joined pairs must pass the Manhattan bound and are then verified by Hamming distance.
+Hamming distance.  The count vector is cut into PARTS + radius parts: of two vectors
+within the radius, PARTS parts at least are equal.  Every choice of PARTS parts is a grid
+whose cells are the counts there; fingerprints that share a cell, in the first grid in
+which they do, must pass the Manhattan bound and are then verified by Hamming distance.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,8 @@ SKETCH = 2048
 #: Bytes of a text that are cut into words at a time.
 SLICE = 1 << 20
 SPACES = b" \t\n\r\x0b\x0c"
+#: Equal parts of the count vector that make a cell of a grid.
+PARTS = 4
 
 
 def _word_blocks(data: bytes, words: int) -> Iterator[list[bytes]]:
@@ -83,23 +86,46 @@ def fingerprints(docs: DataFrame, passed: list[Column | str], text: str = "text"
     return rows.mapInArrow(lambda it: _fingerprints(it, words, seed), f"{fields}, fp long")
 
 
-def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Pairs (u, v), u < v, of the distinct fingerprints in column fp that differ in at most radius bits; radius is 0 to 3."""
-    if not 0 <= radius <= 3:
-        raise ValueError("the halves of the grid are searched one step far: radius is 0 to 3")
-    low, high, odd = F.col("fp"), F.shiftrightunsigned("fp", 1), F.lit(0x5555555555555555)
+def _grids(radius: int) -> tuple[list[int], list[tuple[int, ...]]]:
+    """Bits of the parts of the count vector, and the grids: all choices of PARTS parts."""
+    n = PARTS + radius
+    cuts = [32 * i // n for i in range(n + 1)]
+    return [sum(3 << 2 * x for x in range(a, b)) for a, b in zip(cuts, cuts[1:], strict=False)], list(combinations(range(n), PARTS))
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def counts(fp: Column) -> Column:
+    """The count vector of a fingerprint, in unary."""
+    low, high, odd = fp, F.shiftrightunsigned(fp, 1), F.lit(0x5555555555555555)
     # Segments 01 and 10 have a count of one, 01 in unary; 11 has two and stays 11.
-    counts = low.bitwiseOR(high).bitwiseAND(odd).bitwiseOR(F.shiftleft(low.bitwiseAND(high).bitwiseAND(odd), 1))
-    cells = fps.select("fp", counts.alias("vec")).select("fp", "vec", F.posexplode(F.array(F.col("vec").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("vec", 32))).alias("half", "cell"))
-    # The cells one count higher; of two cells one step apart, one is the other's.
-    up = "filter(transform(sequence(0, 15), i -> if((shiftright(cell, 2 * i) & 3L) = 3L, -1L, cell | shiftleft(1L, if((shiftright(cell, 2 * i) & 1L) = 0L, 2 * i, 2 * i + 1)))), c -> c >= 0L)"
-    steps = f"concat(array(cell), {up})" if radius >= 2 else "array(cell)"
-    probes = cells.select(F.col("fp").alias("a"), F.col("vec").alias("a_vec"), F.col("cell").alias("a_cell"), "half", F.explode(F.expr(steps)).alias("cell"))
-    held = cells.select(F.col("fp").alias("b"), F.col("vec").alias("b_vec"), "half", "cell")
-    near = (F.bit_count(F.col("a_vec").bitwiseXOR(F.col("b_vec"))) <= radius) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
-    once = (F.col("a_cell") != F.col("p.cell")) | (F.col("a") < F.col("b"))
-    pairs = probes.alias("p").join(held.alias("h"), (F.col("p.half") == F.col("h.half")) & (F.col("p.cell") == F.col("h.cell")) & near & once)
-    return pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+    return low.bitwiseOR(high).bitwiseAND(odd).bitwiseOR(F.shiftleft(low.bitwiseAND(high).bitwiseAND(odd), 1))
+
+
+def candidates(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Pairs (a, b), a < b, of the distinct fingerprints in column fp that share a cell of a grid; each pair once."""
+    masks, grids = _grids(radius)
+    vec = F.col("vec")
+    cells = F.array(*[vec.bitwiseAND(F.lit(_signed(sum(masks[i] for i in g)))) for g in grids])
+    laid = fps.select("fp", counts(F.col("fp")).alias("vec")).select("fp", F.posexplode(cells).alias("grid", "cell"))
+    p, q = laid.select(F.col("fp").alias("a"), "grid", "cell"), laid.select(F.col("fp").alias("b"), F.col("grid").alias("b_grid"), F.col("cell").alias("b_cell"))
+    differ = counts(F.col("a")).bitwiseXOR(counts(F.col("b")))
+    equal = sum((F.when(differ.bitwiseAND(F.lit(_signed(m))) == 0, F.lit(1 << i)).otherwise(F.lit(0)) for i, m in enumerate(masks)), F.lit(0))
+    # The first grid in which two meet: no equal part but its own lies before its last one.
+    upto = F.element_at(F.array(*[F.lit((1 << g[-1] + 1) - 1) for g in grids]), F.col("grid") + 1)
+    once = F.bit_count(equal.bitwiseAND(upto)) == PARTS
+    return p.join(q, (F.col("grid") == F.col("b_grid")) & (F.col("cell") == F.col("b_cell")) & (F.col("a") < F.col("b")) & once).select("a", "b")
+
+
+def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Pairs (u, v), u < v, of the distinct fingerprints in column fp that differ in at most radius bits."""
+    if not 0 <= radius <= 8:
+        raise ValueError("the grids are C(radius + 4, 4) for each fingerprint: radius is 0 to 8")
+    u, v = F.col("a"), F.col("b")
+    near = (F.bit_count(counts(u).bitwiseXOR(counts(v))) <= radius) & (F.bit_count(u.bitwiseXOR(v)) <= radius)
+    return candidates(fps, radius).where(near).select(u.alias("u"), v.alias("v"))
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -160,42 +186,56 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     )
 
 
-def shingles(text: str | None, words: int = SET_WORDS, seed: int = SEED) -> np.ndarray:
-    """The XXH64 of the text's different word shingles in order, as signed numbers; fewer words than a shingle has: of the whole sequence; none: none."""
+def _hashes(text: str | None, words: int, seed: int = SEED) -> np.ndarray:
+    """The XXH64 of the text's word shingles, repeats included; fewer words than a shingle has: of the whole sequence; none: none."""
     digest, parts = xxhash.xxh64_intdigest, []
     for found in _word_blocks((text or "").encode("utf-8", "surrogatepass").lower(), words):
         if len(found) >= words:
             parts.append(np.array([digest(b" ".join(x), seed) for x in zip(*(found[i:] for i in range(words)), strict=False)], np.uint64))
         elif found and not parts:
             parts.append(np.array([digest(b" ".join(found), seed)], np.uint64))
-    return np.unique(np.concatenate(parts)).view(np.int64) if parts else np.empty(0, np.int64)
+    return np.concatenate(parts) if parts else np.empty(0, np.uint64)
+
+
+def shingles(text: str | None, words: int = SET_WORDS, seed: int = SEED) -> np.ndarray:
+    """The hashes of the text's different word shingles in order, as signed numbers."""
+    return np.unique(_hashes(text, words, seed).view(np.int64))
 
 
-def _sets(docs: DataFrame, passed: list[Column | str], text: str, words: int) -> DataFrame:
-    """Columns passed, and set (the text's shingles)."""
+def _majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have, as a signed number."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), SLICE):
+        ones += np.unpackbits(hashes[at : at + SLICE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little", signed=True)
+
+
+def _set_hash(found: np.ndarray) -> int:
+    return _signed(xxhash.xxh64_intdigest(found.tobytes(), SEED))
+
+
+def _sets(docs: DataFrame, text: str, words: int) -> DataFrame:
+    """(fp, set): the hash of each text's shingle set, and the set."""
     ship(docs.sparkSession)
-    rows = docs.select(*passed, F.col(text).cast("string").alias("__text"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 100):
-                part = batch.slice(at, 100)
-                found = pa.array([shingles(x.as_py(), words) for x in part.column(part.num_columns - 1)], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], found], [*part.schema.names[:-1], "set"])
+                found = [shingles(x.as_py(), words) for x in batch.column(0).slice(at, 100)]
+                yield pa.RecordBatch.from_arrays([pa.array(map(_set_hash, found), pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["fp", "set"])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
-    return rows.mapInArrow(each, ", ".join([*fields, "`set` array<long>"]))
+    return docs.select(F.col(text).cast("string").alias("__text")).mapInArrow(each, "fp long, `set` array<long>")
 
 
 def _prefixes(docs: DataFrame, passed: list[Column | str], text: str, words: int, least: tuple[int, int]) -> DataFrame:
-    """Columns passed, fp (the hash of the shingle set), n (its size), sketch and prefix: sets as similar as least share a shingle of their prefixes.
+    """Columns passed, fp (the hash of the shingle set), sim (the SimHash of the shingles), n (the set's size), sketch and prefix: sets as similar as least share a shingle of their prefixes.
 
     Two sketches differ in no more bits than the sets differ in shingles.
 
     Any order of shingles that is the same for all texts will do; common shingles, as a
     sample shows them, come last, so that few texts meet at one.
     """
-    every = _sets(docs.where(F.pmod(F.xxhash64(F.col(text).cast("string")), F.lit(EVERY)) == 0), [], text, words).select(F.explode("set").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+    every = _sets(docs.where(F.pmod(F.xxhash64(F.col(text).cast("string")), F.lit(EVERY)) == 0), text, words).select(F.explode("set").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n"))
     common = every.where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "x").limit(COMMON).orderBy("x").toPandas()
     known, times = common["x"].to_numpy(np.int64), common["n"].to_numpy(np.int64)
     up, down = least
@@ -203,43 +243,53 @@ def _prefixes(docs: DataFrame, passed: list[Column | str], text: str, words: int
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, sizes, heads, flips = [], [], [], []
+            fps, sims, sizes, heads, flips = [], [], [], [], []
             for x in batch.column(batch.num_columns - 1):
-                found = shingles(x.as_py(), words)
+                hashes = _hashes(x.as_py(), words)
+                found = np.unique(hashes.view(np.int64))
                 n = len(found)
                 often = np.zeros(n, np.int64)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, found), len(known) - 1)
                     often = np.where(known[at] == found, times[at], 0)
-                fps.append(xxhash.xxh64_intdigest(np.sort(found).tobytes(), SEED))
+                fps.append(_set_hash(found))
+                sims.append(_majority(hashes))
                 sizes.append(n)
                 odd = np.bincount(found.view(np.uint64) % np.uint64(SKETCH), minlength=SKETCH) & 1
                 flips.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
                 heads.append(found[np.lexsort((found, often))[: n - -(-n * up // down) + 1]])
-            cols = [pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(flips, pa.list_(pa.int64())), pa.array(heads, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *cols], [*batch.schema.names[:-1], "fp", "n", "sketch", "prefix"])
+            cols = [pa.array(fps, pa.int64()), pa.array(sims, pa.int64()), pa.array(sizes, pa.int64()), pa.array(flips, pa.list_(pa.int64())), pa.array(heads, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *cols], [*batch.schema.names[:-1], "fp", "sim", "n", "sketch", "prefix"])
 
     ship(docs.sparkSession)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(each, f"{fields}, fp long, n long, sketch array<long>, prefix array<long>")
+    return rows.mapInArrow(each, f"{fields}, fp long, sim long, n long, sketch array<long>, prefix array<long>")
 
 
 def similar(rows: DataFrame, texts: DataFrame, words: int = SET_WORDS, least: tuple[int, int] = LEAST) -> DataFrame:
     """(node, root) of all sets with a chain of sets between them whose neighbours have a Jaccard similarity of at least least.
 
-    rows: row, fp, n, sketch, prefix as by _prefixes; texts: row, text. Pairs that share a shingle
-    of their prefixes are compared by their whole sets. First each set is compared with the
-    smallest one at each of its shingles; then only sets that are not yet tied are
-    compared, so that a large group of near copies does not meet pair by pair.
+    rows: row, fp, sim, n, sketch, prefix as by _prefixes; texts: row, text. Pairs come first
+    from the fingerprints' links, and from comparing each set with the smallest one at each
+    shingle of its prefix; then sets that are not yet tied are paired where they share a
+    shingle of their prefixes, so that a large group of near copies does not meet pair by
+    pair, and no pair is missed. All pairs are verified by their whole sets.
     """
     up, down = least
     same = cut(rows.groupBy("fp").agg(F.min("row").alias("best"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select(F.col("fp").alias("known"), "best"))
     one = rows.join(small(same), F.col("fp") == F.col("known"), "left").where("known IS NULL OR row = best")
     each = one.select("fp", "row", "n", "sketch")
+
+    def may(nu: str, nv: str, iu: str, iv: str) -> Column:
+        """Whether sets of these sizes whose first common shingles stand at these places of their order can be similar."""
+        sizes = F.least(nu, nv) * down >= F.greatest(nu, nv) * up
+        return sizes & (F.least(F.col(nu) - F.col(iu), F.col(nv) - F.col(iv)) * (up + down) >= (F.col(nu) + F.col(nv)) * up)
+
     # Dealt out by shingle once: the aggregate, the join and the distinct rows need no other exchange.
-    met = one.select("fp", F.explode("prefix").alias("x")).repartition("x")
-    shared = met.groupBy("x").agg(F.min("fp").alias("first"), F.max("fp").alias("last")).where("first <> last").select("x", "first")
-    held = cut(met.join(shared, "x").distinct())
+    met = one.select("fp", "n", F.posexplode("prefix").alias("i", "x")).repartition("x")
+    least_one = F.min(F.struct("fp", "n", "i"))
+    shared = met.groupBy("x").agg(least_one.alias("first"), F.max("fp").alias("last")).where("first.fp <> last").select("x", "first")
+    held = cut(met.join(shared, "x").distinct().select("x", "fp", "n", "i", F.col("first.fp").alias("u"), F.col("first.n").alias("nu"), F.col("first.i").alias("iu")))
 
     def near(pairs: DataFrame) -> DataFrame:
         """The pairs (u, v) that are similar."""
@@ -247,47 +297,52 @@ def similar(rows: DataFrame, texts: DataFrame, words: int = SET_WORDS, least: tu
         sized = pairs.join(size.toDF("u", "nu", "su"), "u").join(size.toDF("v", "nv", "sv"), "v").where(F.least("nu", "nv") * down >= F.greatest("nu", "nv") * up)
         differ = F.aggregate(F.zip_with("su", "sv", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
         tried = cut(sized.where(differ * (up + down) <= (F.col("nu") + F.col("nv")) * (down - up)).select("u", "v", "nu", "nv"))
-        wanted = small(cut(each.join(tried.select("u").union(tried.select("v")).distinct().toDF("fp"), "fp").select("row", "fp")))
-        # Rows with the same hash of all columns have the same text.
-        sets = cut(_sets(texts.join(wanted, "row").select("fp", "text").dropDuplicates(["fp"]), ["fp"], "text", words))
+        wanted = small(cut(each.join(tried.select("u").union(tried.select("v")).distinct().toDF("fp"), "fp").select("row")))
+        sets = cut(_sets(texts.join(wanted, "row"), "text", words).dropDuplicates(["fp"]))
         full = tried.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v")
         return cut(full.where(F.size(F.array_intersect("a", "b")) * (up + down) >= (F.col("nu") + F.col("nv")) * up).select("u", "v"))
 
-    # first is the smaller of the two, so a pair is (u, v) with u < v here and below.
-    firsts = cut(held.where("fp <> first").select(F.col("first").alias("u"), F.col("fp").alias("v")).distinct())
+    # Sets of one fingerprint are compared with the least of them; of two that link, the least ones are.
+    sims = cut(one.groupBy("sim").agg(F.min("fp").alias("rep"), F.max("fp").alias("last")))
+    reps = sims.select("sim", "rep")
+    linked = links(reps.select(F.col("sim").alias("fp"))).join(reps.toDF("u", "a"), "u").join(reps.toDF("v", "b"), "v").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
+    alike = one.select("sim", "fp").join(small(sims.where("rep <> last").select("sim", "rep")), "sim").where("fp <> rep").select(F.col("rep").alias("u"), F.col("fp").alias("v"))
+    # u is the smaller of the two here and below.
+    firsts = cut(held.withColumnRenamed("n", "nv").where(F.col("fp") != F.col("u")).where(may("nu", "nv", "iu", "i")).select("u", F.col("fp").alias("v")).union(linked).union(alike).distinct())
     ties = near(firsts)
     tied = components(ties)
-    at = cut(held.join(small(cut(tied)).withColumnRenamed("node", "fp"), "fp", "left").select("x", "fp", F.coalesce("root", "fp").alias("root")))
-    roots = at.select("x", "root").distinct()
-    split = cut(roots.groupBy("x").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("x"))
-    at = cut(at.join(small(split), "x"))
+    at = cut(held.select("x", "fp", "n", "i").join(small(cut(tied)).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
     # First the roots that meet at a shingle, then their members: tied sets are never paired.
-    roots = at.select("x", "root").distinct()
-    others = roots.alias("p").join(roots.alias("q"), (F.col("p.x") == F.col("q.x")) & (F.col("p.root") < F.col("q.root"))).select(F.col("p.x").alias("x"), F.col("p.root").alias("root"), F.col("q.root").alias("other"))
-    sides = at.join(others, ["x", "root"]).select("x", "other", F.col("fp").alias("a"))
-    pairs = sides.join(at.select("x", F.col("root").alias("other"), F.col("fp").alias("b")), ["x", "other"]).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
-    return components(ties.union(near(cut(pairs.join(small(firsts), ["u", "v"], "left_anti")))))
+    roots = cut(at.groupBy("x", "root").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("i").alias("i")))
+    fits = (F.least("p.high", "q.high") * down >= F.greatest("p.low", "q.low") * up) & (F.least(F.col("p.high") - F.col("p.i"), F.col("q.high") - F.col("q.i")) * (up + down) >= (F.col("p.low") + F.col("q.low")) * up)
+    others = roots.alias("p").join(roots.alias("q"), (F.col("p.x") == F.col("q.x")) & (F.col("p.root") < F.col("q.root")) & fits).select(F.col("p.x").alias("x"), F.col("p.root").alias("root"), F.col("q.root").alias("other"))
+    sides = at.join(others, ["x", "root"]).select("x", "other", F.col("fp").alias("a"), F.col("n").alias("nu"), F.col("i").alias("iu"))
+    pairs = sides.join(at.select("x", F.col("root").alias("other"), F.col("fp").alias("b"), F.col("n").alias("nv"), F.col("i").alias("iv")), ["x", "other"]).where(may("nu", "nv", "iu", "iv"))
+    return components(ties.union(near(cut(pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct().join(small(firsts), ["u", "v"], "left_anti")))))
+
+
+def _row(docs: DataFrame) -> Column:
+    """A hash of all columns in which a null is no other value's."""
+    return F.xxhash64(*[x for c in docs.columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`").cast("string"))])
 
 
 def keep_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = SET_WORDS, least: tuple[int, int] = LEAST) -> DataFrame:
     """As keep_one, where texts are near copies if the Jaccard similarity of their word shingles is at least least; all such pairs are found."""
     row = _row(docs)
     rows = cut(_prefixes(docs, [F.col(key).alias("key"), row.alias("row")], text, words, least))
-    tied = similar(rows.select("row", "fp", "n", "sketch", "prefix"), docs.select(row.alias("row"), F.col(text).alias("text")), words, least)
+    tied = similar(rows.select("row", "fp", "sim", "n", "sketch", "prefix"), docs.select(row.alias("row"), F.col(text).alias("text")), words, least)
     copies = rows.groupBy("fp").agg(F.count(F.lit(1)).alias("copies"))
     known = copies.join(tied, copies.fp == tied.node, "left").where("copies > 1 OR root IS NOT NULL")
     shared = small(cut(known.select(F.col("fp").alias("known"), F.coalesce("root", "fp").alias("group"))))
     return _best(docs, rows.select("key", "row", "fp"), shared, key)
 
 
-def _row(docs: DataFrame) -> Column:
-    return F.xxhash64(*[F.col(c).cast("string") for c in docs.columns])
-
-
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """The rows of docs without all but one of each component: the row of the smallest key, ties by the hash of all columns.
 
-    Exactly repeated rows are one row. Columns stay as they are; a null key comes last.
+    Exactly repeated rows are one row; rows that differ in a null are not. Columns stay as
+    they are, whatever their names; a null key comes last; null and empty texts are copies
+    of each other; an empty table gives no rows.
     """
     rows = cut(fingerprints(docs, [F.col(key).alias("key"), _row(docs).alias("row")], text, words))
     shared = small(cut(groups(rows, F.col("key"), radius).where("n > 1 OR n_links > 0").select(F.col("fp").alias("known"), F.col("root").alias("group"))))
@@ -296,21 +351,20 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: in
 
 def _best(docs: DataFrame, rows: DataFrame, shared: DataFrame, key: str) -> DataFrame:
     """The rows of docs without all but the best of each group; rows: key, row, fp; shared: known (an fp), group."""
-    names, row = docs.columns, _row(docs)
     member = rows.join(shared, F.col("fp") == F.col("known")).groupBy("group", "key", "row").agg(F.count(F.lit(1)).alias("copies"))
     order = F.struct(F.col("key").isNull().alias("last"), "key", "row", "copies")
     best = small(cut(member.groupBy("group").agg(F.min(order).alias("best"))))
     # Rows that go: all members but the best of each group. Exact repeats of the best go below.
     ranked = cut(member.join(best, "group").select("key", "row", (F.col("best.key").eqNullSafe(F.col("key")) & (F.col("best.row") == F.col("row"))).alias("stays"), "copies"))
-    gone = ranked.where(~F.col("stays")).select(F.col("key").alias("gone_key"), F.col("row").alias("gone_row"))
-    marked = docs.withColumn("__row", row)
+    # The caller's columns stay in one struct, so that no name of theirs meets one of ours.
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("given"), F.col(key).alias("its_key"), _row(docs).alias("its_row"))
+    same = F.col("its_key").eqNullSafe(F.col("key")) & (F.col("its_row") == F.col("row"))
     # A short list of rows that go is broadcast; a long one is joined by key.
-    left = marked.join(small(gone), F.col(key).eqNullSafe(F.col("gone_key")) & (F.col("__row") == F.col("gone_row")), "left_anti")
-    twice = ranked.where("stays AND copies > 1").select(F.col("key").alias("gone_key"), F.col("row").alias("gone_row"))
+    left = marked.join(small(ranked.where(~F.col("stays")).select("key", "row")), same, "left_anti")
+    twice = ranked.where("stays AND copies > 1").select("key", "row")
     if twice.isEmpty():
-        return left.select(*names)
-    same = F.col(key).eqNullSafe(F.col("gone_key")) & (F.col("__row") == F.col("gone_row"))
-    return left.join(twice, same, "left_anti").select(*names).unionByName(left.join(twice, same, "left_semi").select(*names).dropDuplicates())
+        return left.select("given.*")
+    return left.join(twice, same, "left_anti").select("given.*").unionByName(left.join(twice, same, "left_semi").select("given.*").dropDuplicates())
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,10 +59,18 @@ def test_links_are_those_of_all_pairs(spark):
     fps = sorted(fps)
     signed = [(x - 2**64 if x >= 2**63 else x,) for x in fps]
     frame = spark.createDataFrame(signed, "fp long")
-    for radius in (0, 1, 2, 3):
+    for radius in (0, 1, 2, 3, 5):
         got = {(r.u, r.v) for r in neardup.links(frame, radius).collect()}
         want = {(min(a, b), max(a, b)) for (a,) in signed for (b,) in signed if a != b and ((a ^ b) & (2**64 - 1)).bit_count() <= radius}
         assert got == want
+        assert neardup.links(frame, radius).count() == len(got)
+
+
+def test_few_unrelated_fingerprints_meet(spark):
+    rng = np.random.default_rng(8)
+    fps = spark.createDataFrame([(int(x),) for x in rng.integers(-(2**63), 2**63, 30_000)], "fp long").distinct()
+    # About 5e-7 of all pairs.
+    assert neardup.candidates(fps).count() < 1e-6 * 30_000**2 / 2
 
 
 def test_components_of_chains_and_stars(spark):
@@ -92,6 +100,12 @@ def test_nulls_ties_repeats_extra_columns(spark):
     assert neardup.keep_one(docs).columns == docs.columns
     again = spark.createDataFrame([(5, text, "x")] * 3, "doc_id long, text string, fp string")
     assert neardup.keep_one(again).count() == 1
+    nulls = spark.createDataFrame([(1, text, None, "x"), (1, text, "x", None)], "doc_id long, text string, lang string, source string")
+    assert neardup.keep_one(nulls).count() == neardup.keep_similar(nulls).count() == 1
+    odd = docs.selectExpr("doc_id", "text", *[f"doc_id AS {c}" for c in ("gone_key", "gone_row", "known", "group", "key", "row", "fp", "sim", "n", "x", "given", "its_key", "best", "stays", "copies", "last", "`a.b`")])
+    for keep in (neardup.keep_one, neardup.keep_similar):
+        assert sorted((str(r.doc_id), str(r.text)) for r in keep(odd).collect()) == kept and keep(odd).columns == odd.columns
+    assert neardup.near_duplicates(odd).count() == len(rows)
     assert neardup.near_duplicates(docs.limit(0)).count() == 0 and neardup.keep_one(docs.limit(0)).count() == 0
 
 
