@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.llm.names import free
 from gridloom.llm.pieces import BYTE, NORMAL, SPACE, fields, model_bytes
 from gridloom.session import ship, table
 
@@ -76,7 +77,7 @@ def unigram_of(model: bytes) -> Unigram:
     return Unigram(model)
 
 
-def _counted(batches: Iterator[pa.RecordBatch], model: bytes) -> Iterator[pa.RecordBatch]:
+def _counted(batches: Iterator[pa.RecordBatch], model: bytes, names: list[str]) -> Iterator[pa.RecordBatch]:
     """Batches are gathered up to RUN characters, so that their pre-tokens share a trie."""
     unigram = unigram_of(model)
     run: list[pa.RecordBatch] = []
@@ -91,7 +92,7 @@ def _counted(batches: Iterator[pa.RecordBatch], model: bytes) -> Iterator[pa.Rec
                 found = pretokens(text.as_py())
                 pre.append(len(found))
                 total.append(sum(map(known.__getitem__, found)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(pre, pa.int64()), pa.array(total, pa.int64())], [*batch.schema.names[:-1], "n_pretokens", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(pre, pa.int64()), pa.array(total, pa.int64())], [*batch.schema.names[:-1], *names])
 
     for whole in batches:
         for batch in (whole.slice(at, 500) for at in range(0, whole.num_rows, 500)):
@@ -111,7 +112,8 @@ def count(docs: DataFrame, passed: list[Column | str], text: str = "text", path:
     model = model_bytes(path)
     rows = docs.select(*passed, F.col(text).cast("string").alias("__text"))
     given = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
-    return rows.mapInArrow(lambda it: _counted(it, model), ", ".join([*given, "n_pretokens long", "n_tokens long"]))
+    names = free(["n_pretokens", "n_tokens"], rows.columns)
+    return rows.mapInArrow(lambda it: _counted(it, model, names), ", ".join([*given, *(f"`{n}` long" for n in names)]))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

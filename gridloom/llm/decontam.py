@@ -20,12 +20,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.session import ship, table
+from gridloom.llm.names import free
+from gridloom.session import cut, ship, table
 
 #: Share of an item's words that may differ; items shorter than SHORT words must match exactly.
 ERRORS_IN, SHORT = 0.2, 8
 #: Words of test items in one block, at most (an item is never cut; a longer one is a block of its own).
 BLOCK_WORDS = 200_000
+#: Filters of blocks that run in one task.
+CHAIN = 4
 WORD = re.compile(r"\w+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -68,18 +71,23 @@ class Index:
 
     def __init__(self, items: list[tuple[object, str | None]], share: float = ERRORS_IN):
         self.numbers: dict[str, int] = {}
-        self.items: list[tuple[object, list[int], int]] = []
+        #: Keys of equal word sequences (one search stands for all), the sequence, and its budget.
+        self.items: list[tuple[list, list[int], int]] = []
+        at: dict[tuple, int] = {}
         found: dict[int, list[tuple[int, int, int]]] = {}
         for key, text in items:
             words = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in words_of(text)]
             if not words:
                 continue
+            if (known := at.setdefault(tuple(words), len(self.items))) < len(self.items):
+                self.items[known][0].append(key)
+                continue
             k = budget(len(words), share)
             cuts = [len(words) * i // (k + 1) for i in range(k + 2)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 piece = self._hashes(np.array(words[a:b], np.uint64), b - a)
                 found.setdefault(b - a, []).append((int(piece[0]), len(self.items), a))
-            self.items.append((key, words, k))
+            self.items.append(([key], words, k))
         self.pieces = {}
         for n, rows in found.items():
             rows.sort()
@@ -117,7 +125,7 @@ class Index:
                     j += 1
         out, offsets = [], None
         for item, ranges in spans.items():
-            key, pattern, k = self.items[item]
+            keys, pattern, k = self.items[item]
             best, ends = None, []
             for a, b in _merged(ranges):
                 for i, d in enumerate(myers(pattern, words[a:b].tolist()), a):
@@ -130,7 +138,7 @@ class Index:
             if offsets is None:
                 offsets = [m.span() for m in WORD.finditer(lowered)]
             first = _first(pattern, words, best[1], best[0], k)
-            out.append((key, best[0], count, offsets[first][0], offsets[best[1]][1]))
+            out += [(key, best[0], count, offsets[first][0], offsets[best[1]][1]) for key in keys]
         return out
 
 
@@ -171,7 +179,7 @@ def _first(pattern: list[int], words: np.ndarray, end: int, distance: int, k: in
     return min(best[1], end)
 
 
-def _searched(batches: Iterator[pa.RecordBatch], index, item: pa.DataType) -> Iterator[pa.RecordBatch]:
+def _searched(batches: Iterator[pa.RecordBatch], index, item: pa.DataType, names: list[str]) -> Iterator[pa.RecordBatch]:
     held = index.value
     for b in batches:
         rows, found = [], []
@@ -182,7 +190,7 @@ def _searched(batches: Iterator[pa.RecordBatch], index, item: pa.DataType) -> It
         if rows:
             left = [c.take(pa.array(rows)) for c in b.columns[:-1]]
             more = list(zip(*found, strict=True))
-            yield pa.RecordBatch.from_arrays([*left, pa.array(more[0], item), *(pa.array(c, pa.int32()) for c in more[1:])], [*b.schema.names[:-1], "item_id", "distance", "matches", "start", "end"])
+            yield pa.RecordBatch.from_arrays([*left, pa.array(more[0], item), *(pa.array(c, pa.int32()) for c in more[1:])], [*b.schema.names[:-1], *names])
 
 
 def matches(docs: DataFrame, items: DataFrame, passed: list[Column | str], text: str = "text", item: str = "item_id", item_text: str = "text", share: float = ERRORS_IN, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -192,7 +200,8 @@ def matches(docs: DataFrame, items: DataFrame, passed: list[Column | str], text:
     end are characters of the lower-cased text. Every item is compared with every text,
     whole, block of items by block of items; there is no limit on hits. Null and empty
     texts and items without words match nothing; items of fewer than SHORT words must
-    stand in a text exactly; repeated items and documents give repeated rows.
+    stand in a text exactly; repeated items and documents give repeated rows. A made
+    column whose name a passed one has gets an underscore; an empty table gives no rows.
     """
     from pyspark.sql.types import LongType, StringType
 
@@ -203,12 +212,13 @@ def matches(docs: DataFrame, items: DataFrame, passed: list[Column | str], text:
     named = items.select(F.col(item).cast(LongType() if whole else StringType()).alias("item"), F.col(item_text).cast("string").alias("text"))
     rows = docs.select(*passed, F.col(text).cast("string").alias("__text"))
     given = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
-    fields = ", ".join([*given, f"item_id {'long' if whole else 'string'}", "distance int", "matches int", "start int", "`end` int"])
+    names = free(["item_id", "distance", "matches", "start", "end"], rows.columns)
+    fields = ", ".join([*given, f"`{names[0]}` {'long' if whole else 'string'}", *(f"`{n}` int" for n in names[1:])])
     kind_ = pa.int64() if whole else pa.string()
     out = None
     for block in _blocks(named, block_words):
         index = spark.sparkContext.broadcast(Index(block, share))
-        part = rows.mapInArrow(lambda it, index=index: _searched(it, index, kind_), fields)
+        part = rows.mapInArrow(lambda it, index=index: _searched(it, index, kind_, names), fields)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else rows.limit(0).mapInArrow(lambda it: iter(()), fields)
 
@@ -239,11 +249,17 @@ def _clean(batches: Iterator[pa.RecordBatch], index, at: int) -> Iterator[pa.Rec
 
 
 def clean(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", share: float = ERRORS_IN, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The rows of docs in which no test item stands, with their columns: one filter for each block of items, without a shuffle."""
+    """The rows of docs in which no test item stands, with their columns, whatever their names: one filter for each block of items, without a shuffle.
+
+    Null and empty texts stay. So many filters run in one task, each with a worker of its
+    own; beyond CHAIN blocks what is left is written down in between.
+    """
     spark = docs.sparkSession
     ship(spark)
     at = docs.columns.index(text)
-    for block in _blocks(items.select(F.col(item).cast("string").alias("item"), F.col(item_text).cast("string").alias("text")), block_words):
+    for n, block in enumerate(_blocks(items.select(F.col(item).cast("string").alias("item"), F.col(item_text).cast("string").alias("text")), block_words)):
+        if n and n % CHAIN == 0:
+            docs = cut(docs)
         index = spark.sparkContext.broadcast(Index(block, share))
         docs = docs.mapInArrow(lambda it, index=index: _clean(it, index, at), docs.schema)
     return docs

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from gridloom.session import cut, small, table
 
 SCOPE = 200
+#: Spans of a block, and code points of a slice of a text, where a row holds many.
+BLOCK, SLICE = 256, 4096
 
 
 def _folded(words: str) -> str:
@@ -36,8 +38,8 @@ _EMPTY = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
 
 def _starts(parts: str, matches: str) -> str:
-    """Sum of the lengths before each match; by blocks of 256 matches, as SQL has no running sum over an array."""
-    gaps = f"transform({matches}, (m, i) -> length({parts}[i]) + if(i = 0, 0, length({matches}[i - 1])))"
+    """Sum of the lengths before each match; by blocks of 256 matches, as SQL has no running sum over an array. An aggregate over one element names a value, so that it is worked out once and not for every match."""
+    gaps = f"aggregate(array({parts}), cast(array() as array<int>), (none0, ps) -> transform({matches}, (m, i) -> length(ps[i]) + if(i = 0, 0, length({matches}[i - 1]))))"
     return (
         f"aggregate(array({gaps}), cast(array() as array<int>), (none, g) -> "
         "aggregate(array(transform(sequence(0, (size(g) - 1) div 256), b -> aggregate(slice(g, b * 256 + 1, 256), 0, (s, x) -> s + x))), cast(array() as array<int>), (none2, sums) -> "
@@ -60,13 +62,13 @@ def _found(df: DataFrame, kind: str, pattern: str, maybe: Column, fits: str = "t
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with three columns more: __row is a hash of the text, __base and __weak are arrays of spans.
+    """Columns __given (a struct of all columns of docs, so that no name of theirs meets one of ours), __text, __row (a hash of the text), __base and __weak (arrays of spans).
 
     A span is struct(start, rank, end, kind), code points, end exclusive. Matches are
     leftmost and do not overlap within a kind; those that fail their length go. Weak
     candidates that overlap a base span are left out.
     """
-    df = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("__given"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
+    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__given"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
     text_ = F.col("__text")
     sign = text_.contains("=") | text_.contains(":")
     # Cheap tests first: most texts need no search for positions.
@@ -78,9 +80,16 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     df = _found(df, "key", KEY, text_.rlike(KEY), "x.m RLIKE '[a-z]' AND x.m RLIKE '[A-Z]' AND x.m RLIKE '[0-9]'")
     df = _found(df, "url", URL, text_.contains("://"))
     df = df.withColumn("base", F.array_sort(F.concat(*BASE)))
-    clear = "filter(concat(ident, key, url), w -> NOT exists(base, b -> b.start < w.end AND w.start < b.end))"
+    # Base spans by blocks in the order of their starts: of many, a weak one meets the few blocks that it touches.
+    blocks = (
+        f"transform(sequence(0, (size(base) - 1) div {BLOCK}), i -> aggregate(array(slice(base, i * {BLOCK} + 1, {BLOCK})), cast(null as struct<first:int,last:int,spans:{_EMPTY}>), "
+        "(none, b) -> struct(b[0].start AS first, array_max(transform(b, x -> x.end)) AS last, b AS spans)))"
+    )
+    hits = "exists(b, x -> x.first < w.end AND w.start < x.last AND exists(x.spans, y -> y.start < w.end AND w.start < y.end))"
+    weak = "concat(ident, key, url)"
+    clear = f"if(size(base) = 0 OR size({weak}) = 0, {weak}, aggregate(array({blocks}), cast(array() as {_EMPTY}), (none, b) -> filter({weak}, w -> NOT {hits})))"
     row = F.struct(F.xxhash64("__text"), F.xxhash64(F.lit("again"), "__text"), F.length("__text"))
-    return df.select("__given.*", row.alias("__row"), F.col("base").alias("__base"), F.expr(clear).alias("__weak"))
+    return df.select("__given", "__text", row.alias("__row"), F.col("base").alias("__base"), F.expr(clear).alias("__weak"))
 
 
 def linked(scanned: DataFrame, scope: int = SCOPE) -> DataFrame:
@@ -112,8 +121,8 @@ def _all(scanned: DataFrame, held: DataFrame, scope: int) -> DataFrame:
     """
     none = F.expr(f"cast(array() as {_EMPTY})")
     added = small(cut(linked(held, scope)).withColumnRenamed("__row", "__of"))
-    both = scanned.join(added, F.col("__row") == F.col("__of"), "left").drop("__of")
-    return both.withColumn("__found", F.array_sort(F.concat("__base", F.coalesce("added", none)))).drop("added")
+    both = scanned.join(added, F.col("__row") == F.col("__of"), "left")
+    return both.select("__given", "__text", "__base", F.array_sort(F.concat("__base", F.coalesce("added", none))).alias("__found"))
 
 
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text", scope: int = SCOPE) -> DataFrame:
@@ -123,26 +132,45 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", scope: int =
     have no spans; equal texts have equal spans, whatever their keys; repeated rows come
     out as often as they go in; an empty table gives no rows; other columns are ignored.
     """
-    rows = cut(scan(docs.select(F.col(key).alias("__id"), F.col(text).alias("__value")), "__value").drop("__value"))
+    ours = docs.select(F.col(key).alias("id"), F.col(text).alias("value"))
+    rows = cut(scan(ours, "value").select(F.struct("__given.id").alias("__given"), F.lit("").alias("__text"), "__row", "__base", "__weak"))
     out = _all(rows, _held(rows), scope)
     told = lambda c: F.expr(f"array_join(transform({c}, s -> concat(s.kind, ':', s.start, ':', s.end)), ',')")
     n = [F.expr(f"cast(size(filter(__base, s -> s.kind = '{k}')) as long)").alias(f"n_{k}") for k in BASE]
-    return out.select(F.col("__id").alias(key), *n, F.sha2(told("__base"), 256).alias("base_sha256"), told("__found").alias("spans"), F.col("__found").alias("found"))
+    return out.select(F.col("__given.id").alias(key), *n, F.sha2(told("__base"), 256).alias("base_sha256"), told("__found").alias("spans"), F.col("__found").alias("found"))
 
 
 def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", scope: int = SCOPE) -> DataFrame:
     """docs with every found span replaced by ``[kind]``; overlapping spans become one. Columns stay as they are; n_chars, where there is one, is counted anew.
 
-    Null texts stay null. Rows without spans stay as they are.
+    Null texts stay null; rows without spans stay as they are; repeated rows are redacted
+    alike; other columns may have any names; an empty table gives no rows. Spans are merged
+    first; then the text is taken in slices, each with the spans that touch it, so that
+    a text of many spans is not copied for each of them.
     """
-    names = docs.columns
-    scanned = scan(docs, text)
+    # Written down once, texts and all: else every text would be scanned for the links and again for its spans.
+    scanned = cut(scan(docs, text))
     rows = _all(scanned, _held(scanned), scope)
-    step = f"if(s.start < a.at, struct(greatest(a.at, s.end) AS at, a.out AS out), struct(s.end AS at, concat(a.out, substring(`{text}`, a.at + 1, s.start - a.at), '[', s.kind, ']') AS out))"
-    rows = rows.withColumn(text, F.expr(f"if(size(__found) <= 0, `{text}`, aggregate(__found, struct(0 AS at, '' AS out), (a, s) -> {step}, a -> concat(a.out, substring(`{text}`, a.at + 1))))"))
-    if "n_chars" in names:
-        rows = rows.withColumn("n_chars", F.when(F.size("__found") <= 0, F.col("n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType)))
-    return rows.select(*names)
+    # The open group is kept when a span begins after its end.
+    step = "if(s.start < a.at, struct(greatest(a.at, s.end) AS at, a.kept AS kept, a.now AS now), struct(s.end AS at, if(a.now.kind IS NULL, a.kept, concat(a.kept, array(struct(a.now.start AS start, a.at AS end, a.now.kind AS kind)))) AS kept, struct(s.start AS start, s.kind AS kind) AS now))"
+    none = "struct(0 AS at, cast(array() as array<struct<start:int,end:int,kind:string>>) AS kept, cast(null as struct<start:int,kind:string>) AS now)"
+    merged = f"aggregate(__found, {none}, (a, s) -> {step}, a -> concat(a.kept, array(struct(a.now.start AS start, a.at AS end, a.now.kind AS kind))))"
+    # A slice: what lies between its spans, and the kind of each that begins in it.
+    here = f"filter(m, s -> s.start < (i + 1) * {SLICE} AND s.end > i * {SLICE})"
+    label = f"if(s.start >= i * {SLICE}, concat('[', s.kind, ']'), '')"
+    cut_ = f"aggregate({here}, struct(0 AS at, '' AS out), (a, s) -> struct(least({SLICE}, s.end - i * {SLICE}) AS at, concat(a.out, substring(b, a.at + 1, s.start - i * {SLICE} - a.at), {label}) AS out), a -> concat(a.out, substring(b, a.at + 1)))"
+    sliced = f"aggregate(array({merged}), '', (none, m) -> array_join(transform(regexp_extract_all(__text, '(?s).{{1,{SLICE}}}', 0), (b, i) -> {cut_}), ''))"
+    some = F.size("__found") > 0
+    rows = rows.withColumn("__new", F.when(some, F.expr(sliced)))
+    out = []
+    for c in docs.columns:
+        given = F.col("__given").getField(c)
+        if c == text:
+            given = F.when(some, F.col("__new")).otherwise(given)
+        elif c == "n_chars":
+            given = F.when(some, F.length("__new").cast(docs.schema[c].dataType)).otherwise(given)
+        out.append(given.alias(c))
+    return rows.select(*out)
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -98,4 +98,6 @@ def test_edge_rows(spark):
     assert got == sorted([("3", 1, 0)] * 4 + [("None", 4, 0)] + [("5", 1, 0)] * 2)
     left = D.clean(docs, items)
     assert left.columns == docs.columns and sorted(str(r.doc_id) for r in left.collect()) == ["1", "2", "6"]
+    assert sorted(str(r.doc_id) for r in D.clean(docs, items, block_words=1).collect()) == ["1", "2", "6"]
+    assert D.matches(docs, items, docs.columns).columns == [*docs.columns, "item_id_", "distance", "matches", "start", "end"]
     assert D.matches(docs, items.limit(0), ["doc_id"]).count() == 0 and D.matches(docs.limit(0), items, ["doc_id"]).count() == 0
