@@ -27,9 +27,9 @@ WORDS, SEED, RADIUS = 3, 42, 3
 #: Words of a shingle and the least similarity of near copies, a fraction, where shingle sets are compared.
 SET_WORDS, LEAST = 5, (4, 5)
 #: Every so many texts one is looked at for common shingles; how often such a one stands there, and how many are remembered.
-EVERY, OFTEN, COMMON = 64, 3, 300_000
-#: Bits of a set's sketch; each shingle flips one.
-SKETCH = 2048
+EVERY, OFTEN, COMMON = 16, 3, 300_000
+#: Bits of a set's sketch, least and most: the power of two that its size needs; each shingle flips one.
+SKETCH = 64, 4096
 #: Bytes of a text that are cut into words at a time.
 SLICE = 1 << 20
 SPACES = b" \t\n\r\x0b\x0c"
@@ -255,7 +255,8 @@ def _prefixes(docs: DataFrame, passed: list[Column | str], text: str, words: int
                 fps.append(_set_hash(found))
                 sims.append(_majority(hashes))
                 sizes.append(n)
-                odd = np.bincount(found.view(np.uint64) % np.uint64(SKETCH), minlength=SKETCH) & 1
+                bits = min(SKETCH[1], max(SKETCH[0], 1 << (n - 1).bit_length()))
+                odd = np.bincount(found.view(np.uint64) % np.uint64(bits), minlength=bits) & 1
                 flips.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
                 heads.append(found[np.lexsort((found, often))[: n - -(-n * up // down) + 1]])
             cols = [pa.array(fps, pa.int64()), pa.array(sims, pa.int64()), pa.array(sizes, pa.int64()), pa.array(flips, pa.list_(pa.int64())), pa.array(heads, pa.list_(pa.int64()))]
@@ -293,9 +294,11 @@ def similar(rows: DataFrame, texts: DataFrame, words: int = SET_WORDS, least: tu
 
     def near(pairs: DataFrame) -> DataFrame:
         """The pairs (u, v) that are similar."""
-        size = small(cut(pairs.select("u").union(pairs.select("v")).distinct().toDF("fp").join(each.select("fp", "n", "sketch").dropDuplicates(["fp"]), "fp")), 20_000)
+        size = small(cut(pairs.select("u").union(pairs.select("v")).distinct().toDF("fp").join(each.select("fp", "n", "sketch").dropDuplicates(["fp"]), "fp")), 50_000)
         sized = pairs.join(size.toDF("u", "nu", "su"), "u").join(size.toDF("v", "nv", "sv"), "v").where(F.least("nu", "nv") * down >= F.greatest("nu", "nv") * up)
-        differ = F.aggregate(F.zip_with("su", "sv", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
+        # The longer of two sketches is twice the other at most, as sizes differ by a quarter at most: its halves are laid over each other.
+        fold = lambda a, b: f"if(size({a}) > size({b}), zip_with(slice({a}, 1, size({b})), slice({a}, size({b}) + 1, size({b})), (p, q) -> p ^ q), {a})"
+        differ = F.expr(f"aggregate(zip_with({fold('su', 'sv')}, {fold('sv', 'su')}, (p, q) -> bit_count(p ^ q)), 0, (s, x) -> s + x)")
         tried = cut(sized.where(differ * (up + down) <= (F.col("nu") + F.col("nv")) * (down - up)).select("u", "v", "nu", "nv"))
         wanted = small(cut(each.join(tried.select("u").union(tried.select("v")).distinct().toDF("fp"), "fp").select("row")))
         sets = cut(_sets(texts.join(wanted, "row"), "text", words).dropDuplicates(["fp"]))
@@ -315,9 +318,10 @@ def similar(rows: DataFrame, texts: DataFrame, words: int = SET_WORDS, least: tu
     # First the roots that meet at a shingle, then their members: tied sets are never paired.
     roots = cut(at.groupBy("x", "root").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("i").alias("i")))
     fits = (F.least("p.high", "q.high") * down >= F.greatest("p.low", "q.low") * up) & (F.least(F.col("p.high") - F.col("p.i"), F.col("q.high") - F.col("q.i")) * (up + down) >= (F.col("p.low") + F.col("q.low")) * up)
-    others = roots.alias("p").join(roots.alias("q"), (F.col("p.x") == F.col("q.x")) & (F.col("p.root") < F.col("q.root")) & fits).select(F.col("p.x").alias("x"), F.col("p.root").alias("root"), F.col("q.root").alias("other"))
-    sides = at.join(others, ["x", "root"]).select("x", "other", F.col("fp").alias("a"), F.col("n").alias("nu"), F.col("i").alias("iu"))
-    pairs = sides.join(at.select("x", F.col("root").alias("other"), F.col("fp").alias("b"), F.col("n").alias("nv"), F.col("i").alias("iv")), ["x", "other"]).where(may("nu", "nv", "iu", "iv"))
+    others = cut(roots.alias("p").join(roots.alias("q"), (F.col("p.x") == F.col("q.x")) & (F.col("p.root") < F.col("q.root")) & fits).select(F.col("p.x").alias("x"), F.col("p.root").alias("root"), F.col("q.root").alias("other")))
+    sides = at.join(small(others, 400_000), ["x", "root"]).select("x", "other", F.col("fp").alias("a"), F.col("n").alias("nu"), F.col("i").alias("iu"))
+    far = small(cut(others.select("x", F.col("other").alias("root")).distinct()), 400_000)
+    pairs = sides.join(at.join(far, ["x", "root"], "left_semi").select("x", F.col("root").alias("other"), F.col("fp").alias("b"), F.col("n").alias("nv"), F.col("i").alias("iv")), ["x", "other"]).where(may("nu", "nv", "iu", "iv"))
     return components(ties.union(near(cut(pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct().join(small(firsts), ["u", "v"], "left_anti")))))
 
 
