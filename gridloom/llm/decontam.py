@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.llm.memory import freed
 from gridloom.llm.names import free
 from gridloom.session import cut, ship, table
 
@@ -261,5 +262,5 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "it
         if n and n % CHAIN == 0:
             docs = cut(docs)
         index = spark.sparkContext.broadcast(Index(block, share))
-        docs = docs.mapInArrow(lambda it, index=index: _clean(it, index, at), docs.schema)
+        docs = docs.mapInArrow(freed(lambda it, index=index: _clean(it, index, at)), docs.schema)
     return docs

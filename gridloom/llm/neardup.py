@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.llm.memory import freed
 from gridloom.session import cut, ship, small, table
 
 WORDS, SEED, RADIUS = 3, 42, 3
@@ -83,7 +84,7 @@ def fingerprints(docs: DataFrame, passed: list[Column | str], text: str = "text"
     ship(docs.sparkSession)
     rows = docs.select(*passed, F.col(text).cast("string").alias("__text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(lambda it: _fingerprints(it, words, seed), f"{fields}, fp long")
+    return rows.mapInArrow(freed(lambda it: _fingerprints(it, words, seed)), f"{fields}, fp long")
 
 
 def _grids(radius: int) -> tuple[list[int], list[tuple[int, ...]]]:
@@ -224,7 +225,7 @@ def _sets(docs: DataFrame, text: str, words: int) -> DataFrame:
                 found = [shingles(x.as_py(), words) for x in batch.column(0).slice(at, 100)]
                 yield pa.RecordBatch.from_arrays([pa.array(map(_set_hash, found), pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["fp", "set"])
 
-    return docs.select(F.col(text).cast("string").alias("__text")).mapInArrow(each, "fp long, `set` array<long>")
+    return docs.select(F.col(text).cast("string").alias("__text")).mapInArrow(freed(each), "fp long, `set` array<long>")
 
 
 def _prefixes(docs: DataFrame, passed: list[Column | str], text: str, words: int, least: tuple[int, int]) -> DataFrame:
@@ -264,7 +265,7 @@ def _prefixes(docs: DataFrame, passed: list[Column | str], text: str, words: int
 
     ship(docs.sparkSession)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(each, f"{fields}, fp long, sim long, n long, sketch array<long>, prefix array<long>")
+    return rows.mapInArrow(freed(each), f"{fields}, fp long, sim long, n long, sketch array<long>, prefix array<long>")
 
 
 def similar(rows: DataFrame, texts: DataFrame, words: int = SET_WORDS, least: tuple[int, int] = LEAST) -> DataFrame:

@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.llm.memory import freed
 from gridloom.llm.names import free
 from gridloom.session import cut, ship, table
 
@@ -37,7 +38,7 @@ STEMS, PRIOR, SUPPORT, ERRORS, LEAST = (4, 5, 6), 0.02, 3, 1.64, 1.0
 COST_TIMES, COST, SIGNIFICANT = 3.0, 0.01, 0.01
 WORD = re.compile(r"[^\W\d_]+")
 #: Words remembered by a worker, and documents whose entries are counted together.
-REMEMBERED, COUNTED = 150_000, 200
+REMEMBERED, COUNTED = 75_000, 200
 
 
 def entries_of(word: str) -> list[str]:
@@ -151,7 +152,7 @@ def _signature(text: str) -> int:
 
 def _map(df: DataFrame, function, fields: str) -> DataFrame:
     ship(df.sparkSession)
-    return df.mapInArrow(function, fields)
+    return df.mapInArrow(freed(function), fields)
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
