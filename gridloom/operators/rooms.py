@@ -91,13 +91,15 @@ def nearest(points: DataFrame, targets: DataFrame, key: str, target: str, axes:
     return found.groupBy(key).agg(F.min("m").alias("m")).select(key, F.col("m.id").alias("match"), F.sqrt("m.gap").alias("distance"))
 
 
-def mean_shift(points: DataFrame, key: str, axes: Sequence[str], reach: float, rounds: int) -> DataFrame:
-    """Flat-kernel mean shift: every point moves to the mean of the points within reach of where it is; each round is written to the checkpoint folder.
+def mean_shift(points: DataFrame, key: str, axes: Sequence[str], reach: float, rounds: int = 200, least: float = 0.001) -> DataFrame:
+    """Flat-kernel mean shift: every point moves to the mean of the points within reach of where it is, until it moves by less than least; each round is written to the checkpoint folder.
 
-    Density in a cell does not square the rows: cells are summed per neighbour offset only
-    for exact distances, so the reach should suit the data.
+    Only points that still move are carried into the next round. Equal points count
+    together; a point meets those of the 27 cells about it, so the reach should suit the
+    data. Raises if points still move after so many rounds.
     """
     now = points.select(key, *[F.col(a).alias(f"m_{a}") for a in axes])
+    done = None
     for _ in range(rounds):
         cell = [f"__g{a}" for a in axes]
         offsets = [()]
@@ -107,8 +109,29 @@ def mean_shift(points: DataFrame, key: str, axes: Sequence[str], reach: float, r
         at = now.select("*", *[F.floor(F.col(f"m_{a}") / reach).cast("long").alias(c) for a, c in zip(axes, cell, strict=True)])
         gap = sum(((F.col(a) - F.col(f"m_{a}")) ** 2 for a in axes), F.lit(0.0))
         near = at.join(fixed, cell).where(gap <= reach * reach)
-        now = cut(near.groupBy(key).agg(*[(F.sum(F.col(a) * F.col("n")) / F.sum("n")).alias(f"m_{a}") for a in axes]))
-    return now
+        means = [(F.sum(F.col(a) * F.col("n")) / F.sum("n")).alias(f"m_{a}") for a in axes]
+        way = F.sqrt(sum(((F.col(f"m_{a}") - F.col(f"w_{a}")) ** 2 for a in axes), F.lit(0.0)))
+        moved = cut(near.groupBy(key).agg(*means, *[F.first(f"m_{a}").alias(f"w_{a}") for a in axes]).withColumn("way", way))
+        still = moved.where(F.col("way") < least).select(key, *[f"m_{a}" for a in axes])
+        done = still if done is None else done.union(still)
+        now = moved.where(F.col("way") >= least).select(key, *[f"m_{a}" for a in axes])
+        if now.isEmpty():
+            return done
+    raise RuntimeError(f"points still move after {rounds} rounds")
+
+
+def mean_shift_clusters(points: DataFrame, key: str, axes: Sequence[str], reach: float, merge: float = 0.01, **how) -> DataFrame:
+    """(key, m_*, cluster): every point's mode, and its cluster: the least key of the points whose modes are joined by steps of at most merge. As every point is a seed, it belongs to its own mode and needs no vote."""
+    from gridloom.operators.graph import components
+
+    modes = cut(mean_shift(points, key, axes, reach, **how))
+    plain = modes.select(key, *[F.col(f"m_{a}").alias(a) for a in axes])
+    # Equal modes are one node; nodes are joined where they are near.
+    at = cut(plain.groupBy(*axes).agg(F.min(key).alias("node")))
+    pairs = near_pairs(at, "node", axes, merge)
+    roots = components(pairs.select(F.col(pairs.columns[0]).alias("u"), F.col(pairs.columns[1]).alias("v"))).select(F.col("node").alias("its"), "root")
+    named = at.join(roots, F.col("node") == F.col("its"), "left").select(*[F.col(a).alias(f"m_{a}") for a in axes], F.coalesce("root", "node").alias("cluster"))
+    return modes.join(named, [f"m_{a}" for a in axes]).select(key, *[f"m_{a}" for a in axes], "cluster")
 
 
 def medoids(distances: DataFrame, seeds: Sequence[int], rounds: int = 20) -> tuple[dict[int, int], list[int]]:

@@ -33,10 +33,12 @@ def depth_picture(spark, sf):
 
 
 @R.add("vox5_integrate_depth", sql("""SELECT u, v, k, round(sum(s) / (sum(w) + 1e-4), 6) + 0 AS sdf, sum(w)::BIGINT AS weight FROM (
-  SELECT u, v, k, depth - (k * 0.05::DOUBLE + 0.025::DOUBLE) AS s, 1 AS w FROM d, (SELECT unnest(range(0, 40)) AS k)) WHERE s > -0.03 AND s < 0.15 GROUP BY ALL HAVING sum(w) > 0.5""", _COLUMNS))
+  SELECT u, v, k, depth - (k * 0.05::DOUBLE + 0.025::DOUBLE) AS s, 1 AS w FROM d, (SELECT unnest(range(0, (floor((SELECT max(depth) FROM d) / 0.05) + 2)::BIGINT)) AS k)) WHERE s > -0.03 AND s < 0.15 GROUP BY ALL HAVING sum(w) > 0.5""", _COLUMNS))
 def integrate_depth(spark, sf):
     """Signed distances of the voxels along each pixel's ray, within the truncation band, fused over the agents."""
-    k = F.explode(F.sequence(F.lit(0), F.lit(39))).alias("k")
+    # The voxels between the ends of the band, whatever the depth.
+    low, high = F.greatest(F.floor((F.col("depth") - 0.175) / 0.05), F.lit(0)), F.greatest(F.ceil((F.col("depth") + 0.005) / 0.05), F.lit(0))
+    k = F.explode(F.sequence(low.cast("int"), high.cast("int"))).alias("k")
     seen = depth_picture(spark, sf).select("u", "v", "depth", k).withColumn("s", F.col("depth") - (F.col("k") * 0.05 + 0.025)).where("s > -0.03 AND s < 0.15").withColumn("w", F.lit(1))
     out = V.fuse(seen, ["u", "v", "k"], "s", "w")
     return out.select("u", "v", F.col("k").cast("long").alias("k"), r6("value", "sdf"), F.col("weight").alias("weight"))
@@ -139,11 +141,12 @@ def full_convolution(spark, sf):
     return out.select(*K, F.round("y0", 5).alias("y0"))
 
 
-@R.add("scn4_sparse_to_dense", sql("SELECT sx, count(*) AS n, round(sum(coalesce(a, 0)), 5) AS total FROM (SELECT s.sx, y.sy, t.a FROM (SELECT DISTINCT sx FROM t) s CROSS JOIN (SELECT unnest(range(0, 106)) AS sy) y LEFT JOIN t ON t.sx = s.sx AND t.sy = y.sy) GROUP BY sx", _SITES))
+@R.add("scn4_sparse_to_dense", sql("SELECT sx, count(*) AS n, round(sum(coalesce(a, 0)), 5) AS total FROM (SELECT s.sx, y.sy, t.a FROM (SELECT DISTINCT sx FROM t) s CROSS JOIN (SELECT unnest(range(0, (SELECT max(sy) + 1 FROM t))) AS sy) y LEFT JOIN t ON t.sx = s.sx AND t.sy = y.sy) GROUP BY sx", _SITES))
 def sparse_to_dense(spark, sf):
-    """Rows of the grid as dense vectors; missing sites are zero."""
+    """Rows of the grid as dense vectors, as long as the last site needs; missing sites are zero."""
+    last = sites(spark, sf).agg(F.coalesce(F.max("sy"), F.lit(-1))).first()[0]
     rows = sites(spark, sf).groupBy("sx").agg(F.map_from_entries(F.collect_list(F.struct("sy", "a"))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(105).cast("long")), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0)))
+    dense = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(max(last, 0)).cast("long")), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0)))
     return rows.select("sx", F.size(dense).cast("long").alias("n"), F.round(F.aggregate(dense, F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
 
 

@@ -201,12 +201,13 @@ def kabsch(spark, sf):
     return out.select("corr", *[F.round(F.col("r")[i], 5).alias(f"r{i}") for i in (0, 1, 3, 8)], *[F.round(F.col("t")[i], 4).alias(f"t{i}") for i in (0, 1)])
 
 
-_EDGES = "SELECT DISTINCT l_suppkey % 97 AS u, 1000 + l_partkey % 89 AS v FROM lineitem WHERE l_quantity > 49 AND l_discount > 0.09"
+#: Agents (customers) and the places that they were seen at: day and price of an order, in hundreds. Every order is an edge.
+_EDGES = "SELECT DISTINCT o_custkey AS u, 1000000000 + datediff('day', DATE '1990-01-01', o_orderdate::DATE) * 100000 + floor(o_totalprice / 100)::BIGINT AS v FROM orders"
 
 
 def sparse_edges(spark, sf):
-    li = table(spark, sf, "lineitem").where("l_quantity > 49 AND l_discount > 0.09")
-    return li.select((F.col("l_suppkey") % 97).alias("u"), (F.lit(1000) + F.col("l_partkey") % 89).alias("v")).distinct()
+    place = F.lit(1_000_000_000) + F.datediff(F.col("o_orderdate").cast("date"), F.lit("1990-01-01").cast("date")).cast("long") * 100_000 + F.floor(F.col("o_totalprice") / 100).cast("long")
+    return table(spark, sf, "orders").select(F.col("o_custkey").alias("u"), place.alias("v")).distinct()
 
 
 @R.add("jn22_itr18_components", f"""WITH RECURSIVE e AS ({_EDGES}), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
@@ -218,10 +219,10 @@ def agent_components(spark, sf):
 
 @R.add("itr34_set2_merged_agents", f"""WITH RECURSIVE e AS ({_EDGES}), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
   r(node, root) AS (SELECT u, u FROM b UNION SELECT b.v, r.root FROM r JOIN b ON b.u = r.node WHERE r.root < b.v)
-  SELECT s.camera, coalesce(root, s.camera) AS root FROM (SELECT DISTINCT l_suppkey % 97 AS camera FROM lineitem) s LEFT JOIN (SELECT node, min(root) AS root FROM r GROUP BY node) m ON m.node = s.camera""")
+  SELECT s.camera, coalesce(root, s.camera) AS root FROM (SELECT c_custkey AS camera FROM customer) s LEFT JOIN (SELECT node, min(root) AS root FROM r GROUP BY node) m ON m.node = s.camera""")
 def merged_agents(spark, sf):
     """Agents with the group that shares their coordinates; those without a match stay alone."""
-    agents = table(spark, sf, "lineitem").select((F.col("l_suppkey") % 97).alias("camera")).distinct()
+    agents = table(spark, sf, "customer").select(F.col("c_custkey").alias("camera"))
     return GR.merged_groups(agents, sparse_edges(spark, sf), "camera").select("camera", "root")
 
 

@@ -14,7 +14,7 @@ from gridloom.operators import rooms as RM
 from gridloom.operators import sparse as SP
 from gridloom.operators import statistics as ST
 from gridloom.plans.carriers import POINTS_SQL, Registry, points, r6
-from gridloom.plans.matching import pairs, sparse_edges
+from gridloom.plans.matching import _EDGES, pairs, sparse_edges
 from gridloom.session import ship, table
 
 R = Registry()
@@ -256,8 +256,9 @@ def k_means(spark, sf):
 
 @R.add("itr27_mean_shift")
 def mean_shift(spark, sf):
-    out = RM.mean_shift(vectors(spark, sf), "vec_id", ["x", "y", "z"], 0.3, 3)
-    return out.select("vec_id", *[r6(f"m_{a}", a) for a in "xyz"])
+    """Modes of the points, followed until they stand still, and the cluster of each point."""
+    out = RM.mean_shift_clusters(vectors(spark, sf), "vec_id", ["x", "y", "z"], 0.3)
+    return out.select("vec_id", *[r6(f"m_{a}", a) for a in "xyz"], "cluster")
 
 
 @R.add("itr1_itr5_ransac")
@@ -397,7 +398,9 @@ def raycast(spark, sf):
     return points(spark, sf).select("id", "x", "y", "z").mapInPandas(walk, schema)
 
 
-@R.add("set2_agents_by_component", None)
+@R.add("set2_agents_by_component", f"""WITH RECURSIVE e AS ({_EDGES}), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
+  r(node, root) AS (SELECT u, u FROM b UNION SELECT b.v, r.root FROM r JOIN b ON b.u = r.node WHERE r.root < b.v)
+  SELECT root, count(*) AS n FROM (SELECT node, min(root) AS root FROM r GROUP BY node) GROUP BY root""")
 def component_sizes(spark, sf):
     return GR.components(sparse_edges(spark, sf)).groupBy("root").agg(F.count(F.lit(1)).alias("n"))
 

@@ -118,7 +118,7 @@ R.oracles["src1_associations"] = "SELECT event_id::DOUBLE AS t_rgb, 'rgb/' || ev
 
 @R.add("img2_normal_maps")
 def normal_maps(spark, sf):
-    """Depth pictures of the agents, 16 x 16, with normals by central differences: mean normal of each."""
+    """Depth pictures of the agents, as large as their pixels reach, with normals by central differences: mean normal of each."""
     import numpy as np
     import pandas as pd
 
@@ -126,10 +126,10 @@ def normal_maps(spark, sf):
     from gridloom.operators import images
     from gridloom.operators.rooms import by_group
 
-    px = points(spark, sf).groupBy("camera", F.least(chunk_key(F.col("x") / 4, 1), F.lit(15)).alias("u"), F.least(chunk_key(F.col("y") / 4, 1), F.lit(15)).alias("v")).agg((F.avg("z") / 10 + 1).alias("d"))
+    px = points(spark, sf).groupBy("camera", chunk_key(F.col("x") / 4, 1).alias("u"), chunk_key(F.col("y") / 4, 1).alias("v")).agg((F.avg("z") / 10 + 1).alias("d"))
 
     def normals(pdf: pd.DataFrame) -> pd.DataFrame:
-        depth = np.zeros((16, 16))
+        depth = np.zeros((pdf["v"].max() + 1, pdf["u"].max() + 1))
         depth[pdf["v"], pdf["u"]] = pdf["d"]
         n = images.normal_map(images.clip_range(depth, 8.0), 16.0, 16.0, 7.5, 7.5)
         known = np.abs(n).sum(axis=2) > 0

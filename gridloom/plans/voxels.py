@@ -172,7 +172,7 @@ def room_area(spark, sf):
     return per.groupBy("camera").agg(F.sum("a").alias("a")).where("a <= 200").select("camera", F.round("a", 4).alias("area"))
 
 
-@R.add("set3_concatenated_clouds", sql("SELECT submap, count(*) AS n, round(sum(x), 4) AS x FROM (SELECT submap, x FROM c WHERE camera = 0 UNION ALL SELECT submap, x + 100 FROM c WHERE camera = 1 UNION ALL SELECT submap, x + 200 FROM c WHERE camera = 2) GROUP BY submap"))
+@R.add("set3_concatenated_clouds", sql("SELECT submap, count(*) AS n, round(sum(x), 4) AS x FROM (" + " UNION ALL ".join(f"SELECT submap, x + {100 * c} AS x FROM c WHERE camera = {c}" for c in range(5)) + ") GROUP BY submap"))
 def concatenated_clouds(spark, sf):
     p = points(spark, sf).select("submap", (F.col("x") + F.col("camera") * 100).alias("x"))
     return p.groupBy("submap").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("x"), 4).alias("x"))

@@ -33,10 +33,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session; one of our own only where none is set."""
+    """The shared checkpoint folder of the session. Where none is set, a local session takes one of its own; on a cluster that would be lost with its machine, and is an error."""
     sc = spark.sparkContext
     given = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not given and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         sc.setCheckpointDir(given or os.path.join(tempfile.gettempdir(), "gridloom-checkpoints"))
     return given or sc._jsc.sc().getCheckpointDir().get()
 

@@ -179,8 +179,24 @@ def test_near_pairs_and_nearest_are_those_of_all_pairs(spark):
 def test_mean_shift_and_medoids(spark):
     pts = np.vstack([np.random.default_rng(9).normal(c, 0.1, (30, 2)) for c in (0, 5)])
     df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(pts)], "id int, x double, y double")
-    out = {r.id: r.m_x for r in RM.mean_shift(df, "id", ["x", "y"], 1.0, 3).collect()}
-    assert max(out[i] for i in range(30)) - min(out[i] for i in range(30)) < 0.05 and out[45] > 4
+    got = {r.id: r for r in RM.mean_shift_clusters(df, "id", ["x", "y"], 0.25).collect()}
+    # By brute force: every point to the mean of those within reach, until it stands still; modes within a hundredth are one.
+    modes = pts.copy()
+    for i in range(len(pts)):
+        while True:
+            new = pts[np.linalg.norm(pts - modes[i], axis=1) <= 0.25].mean(axis=0)
+            way = np.linalg.norm(new - modes[i])
+            modes[i] = new
+            if way < 0.001:
+                break
+    cluster = list(range(len(pts)))
+    for i in range(len(pts)):
+        for j in range(i):
+            if np.linalg.norm(modes[i] - modes[j]) <= 0.01 and cluster[i] != cluster[j]:
+                low, high = sorted((cluster[i], cluster[j]))
+                cluster = [low if c == high else c for c in cluster]
+    assert all(abs(got[i].m_x - modes[i][0]) < 1e-9 and got[i].cluster == cluster[i] for i in range(len(pts)))
+    assert len(set(cluster)) >= 2 and got[0].cluster != got[45].cluster
     d = spark.createDataFrame([(a, b, float(abs(a - b))) for a in (1, 2, 3, 10, 11) for b in (1, 2, 3, 10, 11) if a != b], "a int, b int, d double")
     own, centres = RM.medoids(d, [1, 11])
     assert own[1] == own[2] == own[3] != own[10] and centres[0] == 2
