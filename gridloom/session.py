@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 #: Rows of an Arrow batch, where the session has not set another number: texts may be long, and a batch is held whole.
-BATCH_ROWS = "2000"
+BATCH_ROWS = "500"
 #: Rows of a small side that may be broadcast; a larger one is joined by its keys.
 BROADCAST_ROWS = 200_000
 
