@@ -21,7 +21,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, five-word similarity 0.8 or more, the document of the smallest doc_id stays."""
+    """Of each group of near copies, five-word similarity 0.8 or more, the document of the smallest doc_id stays (operator 2, with an exact way for pairs beyond its radius)."""
     return neardup.keep_similar(docs)
 
 
@@ -37,7 +37,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def in_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their piece ids; each batch's words are compared with the library (operator 4)."""
-    return pieces.code(docs, docs.columns, check=True).drop("decoded")
+    return pieces.code(docs, docs.columns, check=True, decoded=False)
 
 
 STAGES = [
