@@ -7,7 +7,7 @@ the assistant of that rendering says and its end mark.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.session import table
@@ -16,27 +16,26 @@ from gridloom.session import table
 HEAD, BODY, END = "<|", "|>\n", "<|end|>\n"
 #: Turns numbered block * TURNS to block * TURNS + TURNS - 1 share a row of the result.
 TURNS = 64
-
-
-def _label(role: Column, seat: Column) -> Column:
-    return F.when(role == seat, F.lit("assistant")).otherwise(F.concat(F.lit("user name="), role))
+#: Parts that the turns without a number are spread over, by the first hex digits of a digest.
+PARTS = 1024
 
 
 def rotate(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", block: int = TURNS) -> DataFrame:
     """One row for each conversation, perspective and block of turns.
 
-    Columns: conv_id, perspective, block, n_turns, rendered, mask (array of start and
-    end, code points within rendered, of what is learnt), n_learnt (code points).
+    Columns: conv_id, perspective, block, part, n_turns, rendered, mask (array of start and
+    end, code points within rendered, of what is learnt), n_learnt (code points). part is
+    null but for turns without a number, which have no block.
     A conversation's rendering is its blocks in order, joined; blocks bound the size of
     a row, so that a conversation of any length spreads over many tasks.
 
     Null texts are empty; a null role is the speaker ``unknown``; null turns come last,
-    in blocks of their own by a hash of their text; equal turn numbers go by role, then
+    in parts of their own by a hash of role and text; a null conversation is one of its own; equal turn numbers go by role, then
     text; repeated rows are rendered as often as they occur; an empty table gives no rows.
     """
     rows = turns.select(F.col(conv).alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(role), F.lit("unknown")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("block", F.floor(F.col("turn") / F.lit(block)).cast("long"))
-    rows = rows.withColumn("part", F.when(F.col("turn").isNull(), F.pmod(F.xxhash64("role", "text"), F.lit(1024))).otherwise(F.lit(-1)))
+    rows = rows.withColumn("part", F.when(F.col("turn").isNull(), F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", "role", "text")), 1, 4), 16, 10).cast("int"), F.lit(PARTS))).otherwise(F.lit(-1)))
     # Repeated rows are counted before the shuffle.
     rows = rows.groupBy("conv_id", "block", "part", "turn", "role", "text").agg(F.count(F.lit(1)).alias("n"))
     blocks = rows.groupBy("conv_id", "block", "part").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "n"))).alias("said"), F.collect_set("role").alias("here"))
@@ -66,19 +65,20 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation from every participant's seat; the mask is given as text as well."""
     out = rotate(table(spark, sf_dir, "conversations"))
     mask = F.expr("array_join(transform(mask, m -> concat(m.start, ':', m.end)), ',')")
-    return out.select("conv_id", "perspective", "block", "n_turns", "rendered", mask.alias("mask"), "n_learnt")
+    return out.select("conv_id", "perspective", "block", "part", "n_turns", "rendered", mask.alias("mask"), "n_learnt")
 
 
 ORACLE = f"""
-WITH t AS (SELECT conv_id, turn, turn // {TURNS} AS block, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+WITH t AS (SELECT conv_id, turn, turn // {TURNS} AS block, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
+        CASE WHEN turn IS NULL THEN ('0x' || substr(md5(coalesce(role, 'unknown') || '|' || coalesce(text, '')), 1, 4))::INTEGER % {PARTS} END AS part FROM conversations),
 seats AS (SELECT DISTINCT conv_id, role AS perspective FROM t),
 r AS (SELECT t.*, perspective,
         '{HEAD}' || CASE WHEN role = perspective THEN 'assistant' ELSE 'user name=' || role END || '{BODY}' AS head,
-        text || '{END}' AS body FROM t JOIN seats USING (conv_id)),
-s AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective, block ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS e FROM r)
-SELECT conv_id, perspective, CAST(block AS BIGINT) AS block, CAST(count(*) AS INTEGER) AS n_turns,
+        text || '{END}' AS body FROM t JOIN seats ON t.conv_id IS NOT DISTINCT FROM seats.conv_id),
+s AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective, block, part ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS e FROM r)
+SELECT conv_id, perspective, CAST(block AS BIGINT) AS block, part, CAST(count(*) AS INTEGER) AS n_turns,
   string_agg(head || body, '' ORDER BY turn, role, text) AS rendered,
   coalesce(string_agg(CASE WHEN role = perspective THEN (e - length(body))::BIGINT::VARCHAR || ':' || e::BIGINT::VARCHAR END, ',' ORDER BY turn, role, text), '') AS mask,
   CAST(sum(CASE WHEN role = perspective THEN length(body) ELSE 0 END) AS INTEGER) AS n_learnt
-FROM s GROUP BY conv_id, perspective, block
+FROM s GROUP BY conv_id, perspective, block, part
 """
