@@ -272,9 +272,9 @@ class Subdivision:
                 return i
         return -1
 
-    def adjacent(self) -> list[tuple[int, int, float]]:
-        """(face, face, length of the common side); -1 is outside."""
-        out: dict[tuple[int, int], float] = {}
+    def sides(self) -> dict[tuple[int, int], tuple[float, float, float, float]]:
+        """The longest common side of two faces, from corner to corner; -1 is outside."""
+        out: dict[tuple[int, int], tuple[float, float, float, float]] = {}
         for i, f in enumerate(self.faces):
             for a, b in zip(f, f[1:] + f[:1], strict=True):
                 length = float(np.hypot(b[0] - a[0], b[1] - a[1]))
@@ -282,9 +282,35 @@ class Subdivision:
                     continue
                 nx, ny = (b[1] - a[1]) / length, (a[0] - b[0]) / length
                 j = self.locate((a[0] + b[0]) / 2 + 1e-6 * nx, (a[1] + b[1]) / 2 + 1e-6 * ny)
-                if j != i:
-                    out[min(i, j), max(i, j)] = max(out.get((min(i, j), max(i, j)), 0.0), length)
-        return [(a, b, w) for (a, b), w in sorted(out.items())]
+                pair = min(i, j), max(i, j)
+                if j != i and (pair not in out or length > np.hypot(out[pair][2] - out[pair][0], out[pair][3] - out[pair][1])):
+                    out[pair] = a[0], a[1], b[0], b[1]
+        return dict(sorted(out.items()))
+
+    def adjacent(self) -> list[tuple[int, int, float]]:
+        """(face, face, length of the common side); -1 is outside."""
+        return [(a, b, float(np.hypot(x2 - x1, y2 - y1))) for (a, b), (x1, y1, x2, y2) in self.sides().items()]
+
+
+def side_weights(points: DataFrame, sides: Sequence[tuple[float, float, float, float]], reach: float, least: int = 100, share: float = 0.4) -> DataFrame:
+    """(side, n, ratio, weight) of the sides that points stand along: n points (x, y) within reach that project onto the side, ratio of its length between the first and the last.
+
+    weight is ratio * n, and 0 with fewer points than least or a ratio up to share. Sides are
+    a list of one floor, so a constant; all points are read, and counted before the shuffle.
+    """
+    if not sides:
+        return points.sparkSession.createDataFrame([], "side int, n long, ratio double, weight double")
+    parts = []
+    for i, (x1, y1, x2, y2) in enumerate(sides):
+        length = float(np.hypot(x2 - x1, y2 - y1))
+        named = {"side": i, "x1": float(x1), "y1": float(y1), "ux": float(x2 - x1) / length, "uy": float(y2 - y1) / length, "long": length}
+        parts.append(F.struct(*[F.lit(v).alias(k) for k, v in named.items()]))
+    x, y = F.col("x"), F.col("y")
+    along = lambda s: F.struct(s["side"].alias("side"), ((x - s["x1"]) * s["ux"] + (y - s["y1"]) * s["uy"]).alias("t"), ((x - s["x1"]) * s["uy"] - (y - s["y1"]) * s["ux"]).alias("off"), s["long"].alias("long"))
+    near = F.filter(F.transform(F.array(*parts), along), lambda s: (F.abs(s["off"]) <= reach) & (s["t"] >= 0) & (s["t"] <= s["long"]))
+    seen = points.select(F.explode(near).alias("s")).select("s.*")
+    told = seen.groupBy("side").agg(F.count(F.lit(1)).alias("n"), ((F.max("t") - F.min("t")) / F.first("long")).alias("ratio"))
+    return told.select("side", "n", "ratio", F.when((F.col("n") < least) | (F.col("ratio") <= share), F.lit(0.0)).otherwise(F.col("ratio") * F.col("n")).alias("weight"))
 
 
 def embedding(weights: dict[tuple[int, int], float], faces: int, power: int = 40, dims: int = 80) -> np.ndarray:

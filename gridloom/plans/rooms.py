@@ -327,12 +327,31 @@ def wall_lines(spark, sf):
 
 @R.add("itr22_itr24_room_extraction")
 def room_extraction(spark, sf):
-    """Faces of a subdivision, their affinities by the points on their sides, and the faces of the room."""
-    s = subdivision()
-    weights = {(a, b): w for a, b, w in s.adjacent()}
+    """Faces between the wall lines, and which of them are the room.
+
+    Lines are fitted to strips of the points ten wide, each way, and inserted into the box of
+    all points; a side's weight is AGG23's, by the points along it; the room is what those
+    part from the outside. Lines and sides are few by nature: one floor of a building.
+    """
+    schema = "face int, area double, n_sides int, in_room boolean"
+    p = points(spark, sf).select("x", "y")
+    box = p.agg(*[f(a).alias(f"{n}{a}") for a in "xy" for n, f in (("low_", F.min), ("high_", F.max))]).first()
+    if box.low_x is None or box.low_x == box.high_x or box.low_y == box.high_y:
+        return spark.createDataFrame([], schema)
+    fits = [r for a in "xy" for r in ST.planes(p.withColumn("strip", F.floor(F.col(a) / 10)), ["strip"], ["x", "y"]).where("n >= 100").orderBy("strip").collect()]
+    lines = [(np.array(r.normal), r.offset) for r in fits]
+    s = RM.Subdivision((box.low_x, box.low_y), (box.high_x, box.high_y))
+    first = {}
+    for line, k in zip(lines, RM.merge_lines(lines), strict=True):
+        first.setdefault(k, line)
+    for k, (normal, offset) in first.items():
+        s.insert(normal, offset, k)
+    sides = s.sides()
+    told = {r.side: r.weight for r in RM.side_weights(p, list(sides.values()), 0.5).collect()}
+    weights = {pair: told.get(i, 0.0) for i, pair in enumerate(sides)}
     room = set(RM.room_faces(weights, len(s.faces)))
-    rows = [(i, round(a, 6), i in room) for i, a in enumerate(s.areas())]
-    return spark.createDataFrame(rows, "face int, area double, in_room boolean")
+    rows = [(i, round(float(a), 4), sum(i in pair for pair in sides), i in room) for i, a in enumerate(s.areas())]
+    return spark.createDataFrame(rows, schema)
 
 
 @R.add("itr29_itr31_scene_match")

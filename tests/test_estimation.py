@@ -209,3 +209,39 @@ def test_two_way_score(spark):
     assert got == {"ref": 0.25, "new": -0.5}
     assert RM.instance_score(df.where("inst = 3"), "side", "inst", "m", 200, {}).count() == 0
     assert df.where(F.col("side") == "new").count() == 250
+
+
+def test_side_weights_against_plain(spark):
+    rng = np.random.default_rng(3)
+    xy = np.round(rng.uniform(0, 10, (3000, 2)), 3)
+    s = RM.Subdivision((0, 0), (10, 6))
+    s.insert((0.6, 0.8), -5.0, 0)
+    s.insert((1.0, 0.0), -4.0, 1)
+    sides = list(s.sides().values())
+    assert [(a, b) for a, b, _ in s.adjacent()] == list(s.sides())
+    got = {r.side: (r.n, round(r.ratio, 9), round(r.weight, 6)) for r in RM.side_weights(spark.createDataFrame(xy.tolist(), "x double, y double"), sides, 0.3, 80).collect()}
+    want = {}
+    for i, (x1, y1, x2, y2) in enumerate(sides):
+        a, u = np.array([x1, y1]), np.array([x2 - x1, y2 - y1])
+        length = np.linalg.norm(u)
+        t, off = (xy - a) @ u / length, (xy - a) @ np.array([u[1], -u[0]]) / length
+        t = t[(np.abs(off) <= 0.3) & (t >= 0) & (t <= length)]
+        if len(t):
+            ratio = (t.max() - t.min()) / length
+            want[i] = len(t), round(ratio, 9), round(0.0 if len(t) < 80 or ratio <= 0.4 else ratio * len(t), 6)
+    assert got == want and any(w for *_, w in got.values()) and not all(w for *_, w in got.values())
+    assert RM.side_weights(spark.createDataFrame([], "x double, y double"), sides, 0.3).count() == 0 and RM.side_weights(spark.createDataFrame(xy.tolist(), "x double, y double"), [], 0.3).count() == 0
+
+
+def test_rooms_come_from_the_points(spark, tmp_path):
+    """Other points, other faces; the faces fill the box of the points."""
+    from gridloom.plans import rooms
+
+    li = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    li.write.parquet(str(tmp_path / "a" / "lineitem.parquet"))
+    li.where("l_quantity < 25").write.parquet(str(tmp_path / "b" / "lineitem.parquet"))
+    li.where("l_quantity < 0").write.parquet(str(tmp_path / "c" / "lineitem.parquet"))
+    got = {n: rooms.room_extraction(spark, str(tmp_path / n)).collect() for n in "abc"}
+    box = li.selectExpr("(max(l_quantity) - min(l_quantity)) * (max(l_extendedprice) - min(l_extendedprice)) / 2000").first()[0]
+    assert abs(sum(r.area for r in got["a"]) - box) < 0.01 * len(got["a"]) and len(got["a"]) > 4
+    assert sorted(r.area for r in got["a"]) != sorted(r.area for r in got["b"]) and got["c"] == []
