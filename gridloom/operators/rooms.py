@@ -306,8 +306,9 @@ def side_weights(points: DataFrame, sides: Sequence[tuple[float, float, float, f
         named = {"side": i, "x1": float(x1), "y1": float(y1), "ux": float(x2 - x1) / length, "uy": float(y2 - y1) / length, "long": length}
         parts.append(F.struct(*[F.lit(v).alias(k) for k, v in named.items()]))
     x, y = F.col("x"), F.col("y")
-    along = lambda s: F.struct(s["side"].alias("side"), ((x - s["x1"]) * s["ux"] + (y - s["y1"]) * s["uy"]).alias("t"), ((x - s["x1"]) * s["uy"] - (y - s["y1"]) * s["ux"]).alias("off"), s["long"].alias("long"))
-    near = F.filter(F.transform(F.array(*parts), along), lambda s: (F.abs(s["off"]) <= reach) & (s["t"] >= 0) & (s["t"] <= s["long"]))
+    along = lambda s: F.struct(s["side"].alias("side"), ((x - s["x1"]) * s["ux"] + (y - s["y1"]) * s["uy"]).alias("t"), s["long"].alias("long"))
+    close = F.filter(F.array(*parts), lambda s: F.abs((x - s["x1"]) * s["uy"] - (y - s["y1"]) * s["ux"]) <= reach)
+    near = F.filter(F.transform(close, along), lambda s: (s["t"] >= 0) & (s["t"] <= s["long"]))
     seen = points.select(F.explode(near).alias("s")).select("s.*")
     told = seen.groupBy("side").agg(F.count(F.lit(1)).alias("n"), ((F.max("t") - F.min("t")) / F.first("long")).alias("ratio"))
     return told.select("side", "n", "ratio", F.when((F.col("n") < least) | (F.col("ratio") <= share), F.lit(0.0)).otherwise(F.col("ratio") * F.col("n")).alias("weight"))
