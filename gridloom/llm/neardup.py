@@ -29,8 +29,12 @@ WORDS, SEED, RADIUS = 3, 42, 3
 SET_WORDS, LEAST = 5, (4, 5)
 #: Every so many texts one is looked at for common shingles; how often such a one stands there, and how many are remembered.
 EVERY, OFTEN, COMMON = 16, 3, 300_000
+#: How often sets whose ties are many are drawn to be compared, at most, and with how many others a set is each time.
+DRAWS, DRAWN = 8, 4
 #: Bits of a set's sketch, least and most: the power of two that its size needs; each shingle flips one.
 SKETCH = 64, 4096
+#: Numbers of 64 bits that a sketch is laid over to where it goes with every shingle: a power of two.
+LAID = 8
 #: Bytes of a text that are cut into words at a time.
 SLICE = 1 << 20
 SPACES = b" \t\n\r\x0b\x0c"
@@ -273,9 +277,10 @@ def similar(rows: DataFrame, texts: DataFrame, words: int = SET_WORDS, least: tu
 
     rows: row, fp, sim, n, sketch, prefix as by _prefixes; texts: row, text. Pairs come first
     from the fingerprints' links, and from comparing each set with the smallest one at each
-    shingle of its prefix; then sets that are not yet tied are paired where they share a
-    shingle of their prefixes, so that a large group of near copies does not meet pair by
-    pair, and no pair is missed. All pairs are verified by their whole sets.
+    shingle of its prefix, then from some draws where many sets meet that are not yet tied;
+    then all sets that are not yet tied are paired where they share a shingle of their
+    prefixes, so that a large group of near copies does not meet pair by pair, and no pair is
+    missed. All pairs are verified by their whole sets.
     """
     up, down = least
     same = cut(rows.groupBy("fp").agg(F.min("row").alias("best"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select(F.col("fp").alias("known"), "best"))
@@ -287,6 +292,11 @@ def similar(rows: DataFrame, texts: DataFrame, words: int = SET_WORDS, least: tu
         sizes = F.least(nu, nv) * down >= F.greatest(nu, nv) * up
         return sizes & (F.least(F.col(nu) - F.col(iu), F.col(nv) - F.col(iv)) * (up + down) >= (F.col(nu) + F.col(nv)) * up)
 
+    # The longer of two sketches is twice the other at most, as sizes differ by a quarter at most: its halves are laid over each other.
+    fold = lambda a, b: f"if(size({a}) > size({b}), zip_with(slice({a}, 1, size({b})), slice({a}, size({b}) + 1, size({b})), (p, q) -> p ^ q), {a})"
+    differ = F.expr(f"aggregate(zip_with({fold('su', 'sv')}, {fold('sv', 'su')}, (p, q) -> bit_count(p ^ q)), 0, (s, x) -> s + x)")
+    close = differ * (up + down) <= (F.col("nu") + F.col("nv")) * (down - up)
+
     # Dealt out by shingle once: the aggregate, the join and the distinct rows need no other exchange.
     met = one.select("fp", "n", F.posexplode("prefix").alias("i", "x")).repartition("x")
     least_one = F.min(F.struct("fp", "n", "i"))
@@ -297,10 +307,7 @@ def similar(rows: DataFrame, texts: DataFrame, words: int = SET_WORDS, least: tu
         """The pairs (u, v) that are similar."""
         size = small(cut(pairs.select("u").union(pairs.select("v")).distinct().toDF("fp").join(each.select("fp", "n", "sketch").dropDuplicates(["fp"]), "fp")), 50_000)
         sized = pairs.join(size.toDF("u", "nu", "su"), "u").join(size.toDF("v", "nv", "sv"), "v").where(F.least("nu", "nv") * down >= F.greatest("nu", "nv") * up)
-        # The longer of two sketches is twice the other at most, as sizes differ by a quarter at most: its halves are laid over each other.
-        fold = lambda a, b: f"if(size({a}) > size({b}), zip_with(slice({a}, 1, size({b})), slice({a}, size({b}) + 1, size({b})), (p, q) -> p ^ q), {a})"
-        differ = F.expr(f"aggregate(zip_with({fold('su', 'sv')}, {fold('sv', 'su')}, (p, q) -> bit_count(p ^ q)), 0, (s, x) -> s + x)")
-        tried = cut(sized.where(differ * (up + down) <= (F.col("nu") + F.col("nv")) * (down - up)).select("u", "v", "nu", "nv"))
+        tried = cut(sized.where(close).select("u", "v", "nu", "nv"))
         wanted = small(cut(each.join(tried.select("u").union(tried.select("v")).distinct().toDF("fp"), "fp").select("row")))
         sets = cut(_sets(texts.join(wanted, "row"), "text", words).dropDuplicates(["fp"]))
         full = tried.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v")
@@ -315,14 +322,36 @@ def similar(rows: DataFrame, texts: DataFrame, words: int = SET_WORDS, least: tu
     firsts = cut(held.withColumnRenamed("n", "nv").where(F.col("fp") != F.col("u")).where(may("nu", "nv", "iu", "i")).select("u", F.col("fp").alias("v")).union(linked).union(alike).distinct())
     ties = near(firsts)
     tied = components(ties)
-    at = cut(held.select("x", "fp", "n", "i").join(small(cut(tied)).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    placed = lambda: cut(held.select("x", "fp", "n", "i").join(small(cut(tied)).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    at = placed()
+    # While many roots meet, as in a large group in which each is similar to some of the others: each set with a few more, drawn at each shingle, until the draws bring little.
+    for turn in range(DRAWS):
+        mixed = cut(at.groupBy("x").agg(F.min_by(F.struct("fp", "n", "i", "root"), F.xxhash64("fp", "x", F.lit(turn))).alias("drawn"), F.count(F.lit(1)).alias("all"), F.approx_count_distinct("root").alias("roots")).where("roots > 1"))
+        meetings, sets_there = mixed.agg(F.sum(F.col("roots") * (F.col("roots") - 1) / 2), F.sum("all")).first()
+        if not meetings or meetings < 2 * sets_there:
+            break
+        drawn = at.join(mixed, "x").where(F.col("root") != F.col("drawn.root")).where(may("n", "drawn.n", "i", "drawn.i"))
+        few = drawn.groupBy("fp").agg(F.slice(F.sort_array(F.collect_set(F.struct(F.xxhash64("fp", "drawn.fp", F.lit(turn)).alias("h"), F.col("drawn.fp").alias("other")))), 1, DRAWN).alias("few")).select("fp", F.explode("few.other").alias("other"))
+        tried = cut(few.select(F.least("fp", "other").alias("u"), F.greatest("fp", "other").alias("v")).distinct().join(small(firsts), ["u", "v"], "left_anti"))
+        found = near(tried)
+        firsts, brought = firsts.union(tried), found.count()
+        if brought:
+            ties = ties.union(found)
+            tied = components(ties)
+            at = placed()
+        if brought * 50 < tried.count():
+            break
     # First the roots that meet at a shingle, then their members: tied sets are never paired.
     roots = cut(at.groupBy("x", "root").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("i").alias("i")))
     fits = (F.least("p.high", "q.high") * down >= F.greatest("p.low", "q.low") * up) & (F.least(F.col("p.high") - F.col("p.i"), F.col("q.high") - F.col("q.i")) * (up + down) >= (F.col("p.low") + F.col("q.low")) * up)
     others = cut(roots.alias("p").join(roots.alias("q"), (F.col("p.x") == F.col("q.x")) & (F.col("p.root") < F.col("q.root")) & fits).select(F.col("p.x").alias("x"), F.col("p.root").alias("root"), F.col("q.root").alias("other")))
-    sides = at.join(small(others, 400_000), ["x", "root"]).select("x", "other", F.col("fp").alias("a"), F.col("n").alias("nu"), F.col("i").alias("iu"))
     far = small(cut(others.select("x", F.col("other").alias("root")).distinct()), 400_000)
-    pairs = sides.join(at.join(far, ["x", "root"], "left_semi").select("x", F.col("root").alias("other"), F.col("fp").alias("b"), F.col("n").alias("nv"), F.col("i").alias("iv")), ["x", "other"]).where(may("nu", "nv", "iu", "iv"))
+    one_side = cut(at.join(small(others, 400_000), ["x", "root"]).select("x", "other", F.col("fp").alias("a"), F.col("n").alias("nu"), F.col("i").alias("iu")))
+    other_side = cut(at.join(far, ["x", "root"], "left_semi").select("x", F.col("root").alias("other"), F.col("fp").alias("b"), F.col("n").alias("nv"), F.col("i").alias("iv")))
+    # Sketches, laid over to a few numbers, go with both sides, so that pairs of a large group that cannot be similar are never listed.
+    short = f"if(size(sketch) <= {LAID}, sketch, transform(sequence(1, {LAID}), j -> aggregate(sequence(j, size(sketch), {LAID}), 0L, (s, k) -> s ^ element_at(sketch, k))))"
+    seen = small(cut(one_side.select("a").union(other_side.select("b")).distinct().toDF("fp").join(each.select("fp", F.expr(short).alias("s")).dropDuplicates(["fp"]), "fp")), 50_000)
+    pairs = one_side.join(seen.toDF("a", "su"), "a").join(other_side.join(seen.toDF("b", "sv"), "b"), ["x", "other"]).where(may("nu", "nv", "iu", "iv") & close)
     return components(ties.union(near(cut(pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct().join(small(firsts), ["u", "v"], "left_anti")))))
 
 

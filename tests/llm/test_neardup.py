@@ -138,3 +138,27 @@ def test_similar_texts_are_those_of_all_pairs(spark, sf):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id for r in neardup.keep_similar(docs).collect()} == set(group)
     assert len(set(group)) < len({r.doc_id for r in neardup.keep_one(docs).collect()}) - 30
+
+
+def test_a_group_of_half_similar_texts_lists_few_pairs(spark, monkeypatch):
+    """Texts that share most shingles of their prefixes, and few of which are similar: the pairs that are verified."""
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(120)]
+    texts = []
+    for _ in range(400):
+        words = list(base)
+        for at in rng.sample(range(120), 5):
+            words[at] = f"e{rng.randrange(9**6)}"
+        texts.append(" ".join(words))
+    sets, listed = [five_words(t) for t in texts], []
+    group = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                low, high = sorted((group[a], group[b]))
+                group = [low if g == high else g for g in group]
+    told = neardup.components
+    monkeypatch.setattr(neardup, "components", lambda edges, rounds=60: (listed.append(edges.count()), told(edges, rounds))[1])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in neardup.keep_similar(docs).collect()} == set(group)
+    assert listed[-1] < 20 * len(texts)
