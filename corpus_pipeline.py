@@ -37,7 +37,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def in_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their piece ids; each batch's words are compared with the library (operator 4)."""
-    return pieces.code(docs, docs.columns, check=True, decoded=False)
+    return pieces.code(docs, docs.columns, check=True, decoded=False, kept=100_000)
 
 
 STAGES = [

@@ -29,8 +29,8 @@ WORDS, SEED, RADIUS = 3, 42, 3
 SET_WORDS, LEAST = 5, (4, 5)
 #: Every so many texts one is looked at for common shingles; how often such a one stands there, and how many are remembered.
 EVERY, OFTEN, COMMON = 16, 3, 300_000
-#: How often sets whose ties are many are drawn to be compared, at most, and with how many others a set is each time.
-DRAWS, DRAWN = 8, 4
+#: How often sets are drawn to be compared, at most, and with how many others a set is each time; they are drawn while this many pairs of roots meet for each set at a shingle.
+DRAWS, DRAWN, MANY = 8, 4, 8
 #: Bits of a set's sketch, least and most: the power of two that its size needs; each shingle flips one.
 SKETCH = 64, 4096
 #: Numbers of 64 bits that a sketch is laid over to where it goes with every shingle: a power of two.
@@ -326,10 +326,11 @@ def similar(rows: DataFrame, texts: DataFrame, words: int = SET_WORDS, least: tu
     at = placed()
     # While many roots meet, as in a large group in which each is similar to some of the others: each set with a few more, drawn at each shingle, until the draws bring little.
     for turn in range(DRAWS):
-        mixed = cut(at.groupBy("x").agg(F.min_by(F.struct("fp", "n", "i", "root"), F.xxhash64("fp", "x", F.lit(turn))).alias("drawn"), F.count(F.lit(1)).alias("all"), F.approx_count_distinct("root").alias("roots")).where("roots > 1"))
-        meetings, sets_there = mixed.agg(F.sum(F.col("roots") * (F.col("roots") - 1) / 2), F.sum("all")).first()
-        if not meetings or meetings < 2 * sets_there:
+        crowds = at.groupBy("x").agg(F.count(F.lit(1)).alias("all"), F.approx_count_distinct("root").alias("roots")).where("roots > 1")
+        meetings, sets_there = crowds.agg(F.sum(F.col("roots") * (F.col("roots") - 1) / 2), F.sum("all")).first()
+        if not meetings or meetings < MANY * sets_there:
             break
+        mixed = at.groupBy("x").agg(F.min_by(F.struct("fp", "n", "i", "root"), F.xxhash64("fp", "x", F.lit(turn))).alias("drawn"))
         drawn = at.join(mixed, "x").where(F.col("root") != F.col("drawn.root")).where(may("n", "drawn.n", "i", "drawn.i"))
         few = drawn.groupBy("fp").agg(F.slice(F.sort_array(F.collect_set(F.struct(F.xxhash64("fp", "drawn.fp", F.lit(turn)).alias("h"), F.col("drawn.fp").alias("other")))), 1, DRAWN).alias("few")).select("fp", F.explode("few.other").alias("other"))
         tried = cut(few.select(F.least("fp", "other").alias("u"), F.greatest("fp", "other").alias("v")).distinct().join(small(firsts), ["u", "v"], "left_anti"))
