@@ -12,7 +12,7 @@ which they do, must pass the Manhattan bound and are then verified by Hamming di
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -40,6 +40,10 @@ SLICE = 1 << 20
 SPACES = b" \t\n\r\x0b\x0c"
 #: Equal parts of the count vector that make a cell of a grid.
 PARTS = 4
+#: As many edges at most as one task takes by itself; more are tied in rounds.
+ALONE = 400_000
+#: Texts for each partition of what is written down between the joins, at least.
+DEALT = 2000
 
 
 def _word_blocks(data: bytes, words: int) -> Iterator[list[bytes]]:
@@ -133,14 +137,47 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return candidates(fps, radius).where(near).select(u.alias("u"), v.alias("v"))
 
 
+def _least_reachable(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different nodes of the edges (u, v), and for each the smallest node of its component."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b, root = at[: len(u)], at[len(u) :], np.arange(len(nodes))
+    while len(a):
+        # Of two roots that an edge joins the larger one goes below the smaller one, then every node right below its root.
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root != (above := root[root])).any():
+            root = above
+        a, b = root[a], root[b]
+        a, b = a[a != b], b[a != b]
+    return nodes, nodes[root]
+
+
+def _solved(edges: DataFrame) -> DataFrame:
+    """(node, root) of edges (u, v), in one task."""
+    ship(edges.sparkSession)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [np.stack([x.to_numpy() for x in batch.columns]) for batch in batches]
+        if parts:
+            nodes, roots = _least_reachable(*np.concatenate(parts, axis=1))
+            for at in range(0, len(nodes), 10_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 10_000]) for x in (nodes, roots)], ["node", "root"])
+
+    return edges.select(F.col("u").cast("long"), F.col("v").cast("long")).coalesce(1).mapInArrow(freed(each), "node long, root long")
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root) of all nodes in edges (u, v): alternating large and small stars, each round written to the shared checkpoint folder.
+    """(node, root) of all nodes, long numbers, in edges (u, v): up to ALONE edges in one task, more by alternating large and small stars, each round written to the shared checkpoint folder.
 
     root is the smallest node of the component. Stops when a round changes nothing.
     """
-    now, seen = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()), None
+    now, seen = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")), None
+    if now.count() <= ALONE:
+        return _solved(now)
+    now = cut(now.distinct())
     for _ in range(rounds):
         state = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
+        if state[0] <= ALONE:
+            return _solved(now)
         if state == seen:
             break
         seen = state
@@ -272,6 +309,12 @@ def _prefixes(docs: DataFrame, passed: list[Column | str], text: str, words: int
     return rows.mapInArrow(freed(each), f"{fields}, fp long, sim long, n long, sketch array<long>, prefix array<long>")
 
 
+def _dealt(rows: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """cut() in no more partitions than rows fill: each partition of few rows is files and tasks that cost more than its rows."""
+    parts = max(2 * rows.sparkSession.sparkContext.defaultParallelism, rows.count() // DEALT)
+    return lambda df: cut(df.coalesce(parts))
+
+
 def similar(rows: DataFrame, texts: DataFrame, words: int = SET_WORDS, least: tuple[int, int] = LEAST) -> DataFrame:
     """(node, root) of all sets with a chain of sets between them whose neighbours have a Jaccard similarity of at least least.
 
@@ -283,6 +326,7 @@ def similar(rows: DataFrame, texts: DataFrame, words: int = SET_WORDS, least: tu
     missed. All pairs are verified by their whole sets.
     """
     up, down = least
+    cut = _dealt(rows)
     same = cut(rows.groupBy("fp").agg(F.min("row").alias("best"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select(F.col("fp").alias("known"), "best"))
     one = rows.join(small(same), F.col("fp") == F.col("known"), "left").where("known IS NULL OR row = best")
     each = one.select("fp", "row", "n", "sketch")

@@ -162,3 +162,51 @@ def test_a_group_of_half_similar_texts_lists_few_pairs(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id for r in neardup.keep_similar(docs).collect()} == set(group)
     assert listed[-1] < 20 * len(texts)
+
+
+def test_components_alone_and_in_rounds_are_the_same(spark, monkeypatch):
+    rng = random.Random(11)
+    edges = [(rng.randrange(-300, 300), rng.randrange(-300, 300)) for _ in range(260)] + [(i, i + 1) for i in range(1000, 1060)] + [(7, 7), (9, 8), (9, 8), (2**63 - 1, -(2**63))]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for u, v in edges:
+        if u != v:
+            low, high = sorted((find(u), find(v)))
+            root[high] = low
+    frame = spark.createDataFrame(edges, "u long, v long")
+    for alone in (neardup.ALONE, 200, 0):
+        monkeypatch.setattr(neardup, "ALONE", alone)
+        got = [(r.node, r.root) for r in neardup.components(frame).collect()]
+        assert sorted(got) == sorted((x, find(x)) for x in root)
+
+
+def test_few_texts_in_many_partitions_take_few_tasks(spark):
+    """Tasks, each of which leaves files, while the session has many more partitions than the texts fill."""
+    rng = random.Random(6)
+    texts = []
+    for _ in range(12):
+        words = [f"w{rng.randrange(9**6)}" for _ in range(90)]
+        for i in range(25):
+            words = [*words[1:], f"x{i}"]
+            texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    many = {"spark.sql.shuffle.partitions": "97", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in many}
+    sc = spark.sparkContext
+    try:
+        for k, v in many.items():
+            spark.conf.set(k, v)
+        sc.setJobGroup("few-tasks", "few-tasks")
+        assert {r.doc_id for r in neardup.keep_similar(docs).collect()} == set(range(0, 300, 25))
+    finally:
+        sc.setJobGroup("", "")
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    seen = {s for j in sc.statusTracker().getJobIdsForGroup("few-tasks") for s in sc.statusTracker().getJobInfo(j).stageIds}
+    tasks = sum(x.numCompletedTasks for s in seen if (x := sc.statusTracker().getStageInfo(s)))
+    assert 0 < tasks < 80 * 97
