@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm.memory import freed
-from gridloom.session import cut, ship, small, table
+from gridloom.session import cut, let_go, ship, small, table
 
 WORDS, SEED, RADIUS = 3, 42, 3
 #: Words of a shingle and the least similarity of near copies, a fraction, where shingle sets are compared.
@@ -346,6 +346,7 @@ def similar(rows: DataFrame, texts: DataFrame, words: int = SET_WORDS, least: tu
     least_one = F.min(F.struct("fp", "n", "i"))
     shared = met.groupBy("x").agg(least_one.alias("first"), F.max("fp").alias("last")).where("first.fp <> last").select("x", "first")
     held = cut(met.join(shared, "x").distinct().select("x", "fp", "n", "i", F.col("first.fp").alias("u"), F.col("first.n").alias("nu"), F.col("first.i").alias("iu")))
+    let_go(rows.sparkSession)
 
     def near(pairs: DataFrame) -> DataFrame:
         """The pairs (u, v) that are similar."""
@@ -355,7 +356,9 @@ def similar(rows: DataFrame, texts: DataFrame, words: int = SET_WORDS, least: tu
         wanted = small(cut(each.join(tried.select("u").union(tried.select("v")).distinct().toDF("fp"), "fp").select("row")))
         sets = cut(_sets(texts.join(wanted, "row"), "text", words).dropDuplicates(["fp"]))
         full = tried.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v")
-        return cut(full.where(F.size(F.array_intersect("a", "b")) * (up + down) >= (F.col("nu") + F.col("nv")) * up).select("u", "v"))
+        found = cut(full.where(F.size(F.array_intersect("a", "b")) * (up + down) >= (F.col("nu") + F.col("nv")) * up).select("u", "v"))
+        let_go(rows.sparkSession)
+        return found
 
     # Sets of one fingerprint are compared with the least of them; of two that link, the least ones are.
     sims = cut(one.groupBy("sim").agg(F.min("fp").alias("rep"), F.max("fp").alias("last")))
@@ -364,6 +367,7 @@ def similar(rows: DataFrame, texts: DataFrame, words: int = SET_WORDS, least: tu
     alike = one.select("sim", "fp").join(small(sims.where("rep <> last").select("sim", "rep")), "sim").where("fp <> rep").select(F.col("rep").alias("u"), F.col("fp").alias("v"))
     # u is the smaller of the two here and below.
     firsts = cut(held.withColumnRenamed("n", "nv").where(F.col("fp") != F.col("u")).where(may("nu", "nv", "iu", "i")).select("u", F.col("fp").alias("v")).union(linked).union(alike).distinct())
+    let_go(rows.sparkSession)
     ties = near(firsts)
     tied = components(ties)
     placed = lambda: cut(held.select("x", "fp", "n", "i").join(small(cut(tied)).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
